@@ -1 +1 @@
-"""Part of strandlake."""
+"""Operators for preparing training data. Nothing outside this folder imports it."""
