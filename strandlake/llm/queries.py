@@ -43,7 +43,46 @@ def p4_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return choose(table(spark, sf_dir, "seqs").select("seq_id", "aln_id", "aseq", "wgt"), table(spark, sf_dir, "filter_cfg"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_chosen": p4_chosen}
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in containers of 2048 tokens."""
+    from strandlake.llm.pack import assign, token_counts
+
+    return assign(token_counts(table(spark, sf_dir, "documents")))
+
+
+def p6_certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers used and the certified least number, by part."""
+    from strandlake.llm.pack import assign, certificates, token_counts
+
+    return certificates(assign(token_counts(table(spark, sf_dir, "documents"))))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the test items they contain."""
+    from strandlake.llm.leak import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subjects that at least a quarter of a document's sentences are about."""
+    from strandlake.llm.subjects import classify, train_on
+
+    docs = table(spark, sf_dir, "documents")
+    model = train_on(docs, table(spark, sf_dir, "doc_labels"), table(spark, sf_dir, "subject_areas"))
+    return classify(docs, model).select("doc_id", "subject")
+
+
+def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and mean share of sentences of each subject in the corpus."""
+    from strandlake.llm.subjects import classify, train_on
+
+    docs = table(spark, sf_dir, "documents")
+    model = train_on(docs, table(spark, sf_dir, "doc_labels"), table(spark, sf_dir, "subject_areas"))
+    return classify(docs, model).groupBy("subject").agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.avg("share"), 4).alias("mean_share"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_chosen": p4_chosen, "p6_packed": p6_packed, "p6_certificates": p6_certificates, "p7_found": p7_found, "p8_found": p8_found, "p8_composition": p8_composition}
 
 ORACLE = {
     "p1_found": """
