@@ -100,6 +100,20 @@ def token_counts(docs: DataFrame, doc: str = "doc_id", text: str = "text", token
     return d.mapInArrow(_count(tokenizer), "doc_id long, tokens long").groupBy("doc_id").agg(F.min("tokens").alias("tokens"))
 
 
+def _packer(r: int, capacity: int, full: float):
+    def pack(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values(["doc_id", "piece_no"], ignore_index=True)
+        size = t.tokens.to_numpy()
+        box = best_fit(size, capacity)
+        load = np.bincount(box, size)
+        gap = int(box.max()) + 1 - lower_bound(size, capacity)
+        # only where the bound leaves a gap, and only containers with space, are opened again
+        open_ = (load < full * capacity)[box] & (gap > 0)
+        return t.assign(container_id=[f"{r}-{p}-{x}" for p, x in zip(t.part, box)], open=open_)[["doc_id", "piece_no", "n_pieces", "start_token", "tokens", "container_id", "open"]]
+
+    return pack
+
+
 def assign(sizes: DataFrame, capacity: int = 2048, part_items: int = 20_000, rounds: int = 4, full: float = 0.995) -> DataFrame:
     """(doc_id, piece_no, n_pieces, start_token, tokens, container_id) for items (doc_id, tokens).
 
@@ -124,18 +138,8 @@ def assign(sizes: DataFrame, capacity: int = 2048, part_items: int = 20_000, rou
             break
         parts = max(1, -(-count // part_items))
 
-        def pack(t: pd.DataFrame, r=r) -> pd.DataFrame:
-            t = t.sort_values(["doc_id", "piece_no"], ignore_index=True)
-            size = t.tokens.to_numpy()
-            box = best_fit(size, capacity)
-            load = np.bincount(box, size)
-            gap = int(box.max()) + 1 - lower_bound(size, capacity)
-            # only where the bound leaves a gap, and only containers with space, are opened again
-            open_ = (load < full * capacity)[box] & (gap > 0)
-            return t.assign(container_id=[f"{r}-{p}-{x}" for p, x in zip(t.part, box)], open=open_)[["doc_id", "piece_no", "n_pieces", "start_token", "tokens", "container_id", "open"]]
-
         dealt = left.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece_no", F.lit(r)), F.lit(parts)).cast("int"))
-        packed = materialize(dealt.groupBy("part").applyInPandas(pack, cols + ", container_id string, open boolean"), "packed")
+        packed = materialize(dealt.groupBy("part").applyInPandas(_packer(r, capacity, full), cols + ", container_id string, open boolean"), "packed")
         if r == rounds or parts == 1:
             done.append(packed.drop("open"))  # nobody to exchange with, or no rounds left
             break
