@@ -137,7 +137,7 @@ def shuffle_columns(cells: DataFrame, seed: int = 1, reps: int = 1) -> DataFrame
     new = W.partitionBy("aln_id", "rep").orderBy(_order(seed, F.col("rep"), "aln_id", "col"), "col")
     at = cols.withColumn("o", F.row_number().over(old)).withColumn("n", F.row_number().over(new))
     to = at.select("aln_id", "rep", F.col("n").alias("o"), F.col("col").alias("src")).join(at.select("aln_id", "rep", "o", F.col("col").alias("dst")), ["aln_id", "rep", "o"])
-    return cells.join(to.drop("o"), (cells.aln_id == to.aln_id) & (cells.col == to.src)).select(cells.aln_id, "rep", "seq", F.col("dst").alias("col"), "res")
+    return cells.withColumnRenamed("col", "src").join(to.drop("o"), ["aln_id", "src"]).select("aln_id", "rep", "seq", F.col("dst").alias("col"), "res")
 
 
 def _permute(cells: DataFrame, within: str, other: str, seed: int, reps: int) -> DataFrame:
