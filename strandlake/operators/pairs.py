@@ -2,7 +2,7 @@
 
 One shuffle by sequence brings a sequence's residues together; pairs are formed within the row and counted
 on the map side, so what is shuffled next is at most one row for each column pair and task. A pair
-is one wide row with its 16 joint probabilities: every statistic is then plain arithmetic in generated code.
+is one row with an array of its 16 joint probabilities: every statistic is then a short expression over arrays.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ def _grid(cells: DataFrame) -> DataFrame:
 
 
 def joint_counts(cells: DataFrame, weights: DataFrame | None = None) -> DataFrame:
-    """(aln_id, i, j, w0..w15, total): weight of the sequences with residue x at i and y at j, in w[4x+y].
+    """(aln_id, i, j, w, total): weight of the sequences with residue x at i and y at j, in the array w at 4x+y.
 
     weights: (aln_id, seq, wgt), 1 where absent. Only pairs of residues count. Pairs of columns that no sequence has
     residues at have zeros; an alignment of one column has no pairs; an empty table gives none.
@@ -42,10 +42,11 @@ def joint_counts(cells: DataFrame, weights: DataFrame | None = None) -> DataFram
     pair = F.expr("flatten(transform(r, (p, k) -> transform(slice(r, k + 2, size(r)), q -> struct(p.col as i, q.col as j, p.res * 4 + q.res as c))))")
     hit = rows.select("aln_id", "w", F.explode(pair).alias("p")).select("aln_id", "w", "p.*")
     counts = hit.groupBy("aln_id", "i", "j").agg(*(F.sum(F.when(F.col("c") == c, F.col("w")).otherwise(0.0)).alias(f"w{c}") for c in range(16)))
+    counts = counts.select("aln_id", "i", "j", F.array(*(f"w{c}" for c in range(16))).alias("w"))
     total = cells.select("aln_id", "seq").distinct()
     total = total.withColumn("wgt", F.lit(1.0)) if weights is None else total.join(weights, ["aln_id", "seq"], "left").fillna(1.0, ["wgt"])
     grid = _grid(cells).drop("nseq").join(total.groupBy("aln_id").agg(F.sum("wgt").alias("total")), "aln_id")
-    return grid.join(counts, ["aln_id", "i", "j"], "left").fillna(0.0)
+    return grid.join(counts, ["aln_id", "i", "j"], "left").select("aln_id", "i", "j", F.coalesce("w", F.array_repeat(F.lit(0.0), 16)).alias("w"), "total")
 
 
 def joint_counts_rows(rows: DataFrame, chunk: int = 2048) -> DataFrame:
@@ -78,13 +79,18 @@ def joint_counts_rows(rows: DataFrame, chunk: int = 2048) -> DataFrame:
     # rows are padded to the alignment's width, so that every chunk has all column pairs
     d = d.join(nb, "aln_id").withColumn("aseq", F.rpad("aseq", F.col("width"), "-")).withColumn("part", F.pmod(F.xxhash64("seq"), F.col("nb")))
     out = d.select("aln_id", "seq", "aseq", "wgt", "part").groupBy("aln_id", "part").applyInArrow(count, f"aln_id string, i int, j int, {wide}, total double")
-    return out.groupBy("aln_id", "i", "j").agg(*(F.sum(c).alias(c) for c in [*(f"w{c}" for c in range(16)), "total"]))
+    out = out.groupBy("aln_id", "i", "j").agg(*(F.sum(c).alias(c) for c in [*(f"w{c}" for c in range(16)), "total"]))
+    return out.select("aln_id", "i", "j", F.array(*(f"w{c}" for c in range(16))).alias("w"), "total")
+
+
+def _sum(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
 
 
 def joint(counts: DataFrame, prior: float = PRIOR) -> DataFrame:
-    """(aln_id, i, j, nseff, ngap, p0..p15): joint probabilities with a prior in each cell; nseff has no prior."""
-    nseff = reduce(add, (F.col(f"w{c}") for c in range(16)))
-    return counts.withColumn("nseff", nseff).select("aln_id", "i", "j", "nseff", (F.col("total") - F.col("nseff")).alias("ngap"), *(((F.col(f"w{c}") + prior) / (F.col("nseff") + 16 * prior)).alias(f"p{c}") for c in range(16)))
+    """(aln_id, i, j, nseff, ngap, p): joint probabilities with a prior in each cell; nseff has no prior."""
+    d = counts.withColumn("nseff", _sum(F.col("w")))
+    return d.select("aln_id", "i", "j", "nseff", (F.col("total") - F.col("nseff")).alias("ngap"), F.transform("w", lambda c: (c + prior) / (F.col("nseff") + 16 * prior)).alias("p"))
 
 
 def singles(cells: DataFrame, prior: float = 1e-5) -> DataFrame:
@@ -97,45 +103,45 @@ def singles(cells: DataFrame, prior: float = 1e-5) -> DataFrame:
 
 
 def marginals(pp: DataFrame) -> DataFrame:
-    """(aln_id, col, m0..m3): a column's residue probabilities over all its pairs with residues at both ends.
+    """(aln_id, col, m): a column's residue probabilities over all its pairs with residues at both ends.
 
     Not the column's frequencies. A column without such pairs has zeros.
     """
-    left = pp.select("aln_id", F.col("i").alias("col"), "nseff", *(reduce(add, (F.col(f"p{4 * x + y}") for y in range(K))).alias(f"m{x}") for x in range(K)))
-    right = pp.select("aln_id", F.col("j").alias("col"), "nseff", *(reduce(add, (F.col(f"p{4 * y + x}") for y in range(K))).alias(f"m{x}") for x in range(K)))
-    s = left.unionByName(right).groupBy("aln_id", "col").agg(*(F.sum(F.when(F.col("nseff") > 0, F.col(f"m{x}")).otherwise(0.0)).alias(f"m{x}") for x in range(K)))
-    tot = reduce(add, (F.col(f"m{x}") for x in range(K)))
-    return s.select("aln_id", "col", *(F.when(tot > 0, F.col(f"m{x}") / tot).otherwise(0.0).alias(f"m{x}") for x in range(K)))
+    rows = F.array(*(_sum(F.slice("p", 4 * x + 1, K)) for x in range(K)))
+    cols = F.array(*(reduce(add, (F.col("p")[4 * y + x] for y in range(K))) for x in range(K)))
+    ends = F.explode(F.array(F.struct(F.col("i").alias("col"), rows.alias("m")), F.struct(F.col("j").alias("col"), cols.alias("m"))))
+    d = pp.select("aln_id", "nseff", ends.alias("e")).select("aln_id", "e.col", F.when(F.col("nseff") > 0, F.col("e.m")).otherwise(F.array_repeat(F.lit(0.0), K)).alias("m"))
+    s = d.groupBy("aln_id", "col").agg(*(F.sum(F.col("m")[x]).alias(f"m{x}") for x in range(K))).select("aln_id", "col", F.array(*(f"m{x}" for x in range(K))).alias("m"))
+    return s.select("aln_id", "col", F.transform("m", lambda v: F.when(_sum(F.col("m")) > 0, v / _sum(F.col("m"))).otherwise(0.0)).alias("m"))
 
 
 def with_marginals(pp: DataFrame) -> DataFrame:
-    """pp with a0..a3 of column i and b0..b3 of column j."""
+    """pp with e, the products of the marginals of column i and column j in the order of p, and the marginals a and b."""
     m = marginals(pp)
-    a = m.select("aln_id", F.col("col").alias("i"), *(F.col(f"m{x}").alias(f"a{x}") for x in range(K)))
-    b = m.select("aln_id", F.col("col").alias("j"), *(F.col(f"m{x}").alias(f"b{x}") for x in range(K)))
-    return pp.join(a, ["aln_id", "i"]).join(b, ["aln_id", "j"])
+    a, b = m.select("aln_id", F.col("col").alias("i"), F.col("m").alias("a")), m.select("aln_id", F.col("col").alias("j"), F.col("m").alias("b"))
+    return pp.join(a, ["aln_id", "i"]).join(b, ["aln_id", "j"]).withColumn("e", _outer("a", "b"))
 
 
-Cell = tuple[Column, Column]  # probability observed, and expected from the marginals
+def _outer(a: str, b: str) -> Column:
+    return F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: x * y)))
 
 
-def _cells(cls: str, allowed=WC_GU) -> list[Cell]:
-    full = {(x, y): (F.col(f"p{4 * x + y}"), F.col(f"a{x}") * F.col(f"b{y}")) for x, y in CELLS}
+def _cells(cls: str, allowed=WC_GU) -> Column:
+    """Array of (p, e), observed and expected probabilities of the cells of a class."""
+    both = F.zip_with("p", "e", lambda p, e: F.struct(p.alias("p"), e.alias("e")))
     if cls == "C16":
-        return [full[c] for c in CELLS]
+        return both
+    mask = F.array(*(F.lit(c in allowed) for c in CELLS))
     if cls == "CWC":
-        return [full[c] for c in CELLS if c in allowed]
+        return F.filter(both, lambda c, k: mask[k])
     if cls == "C2":
-        yes, no = [full[c] for c in CELLS if c in allowed], [full[c] for c in CELLS if c not in allowed]
-        return [(reduce(add, (p for p, _ in g)), reduce(add, (e for _, e in g))) for g in (yes, no)]
+        part = lambda a, yes: _sum(F.filter(a, lambda c, k: mask[k] == yes))
+        return F.array(*(F.struct(part(F.col("p"), yes).alias("p"), part(F.col("e"), yes).alias("e")) for yes in (True, False)))
     raise ValueError(cls)
 
 
-def _total(cells: list[Cell], term: Callable[[Column, Column], Column]) -> Column:
-    return reduce(add, (term(p, e) for p, e in cells))
-
-
-_N = F.col
+def _total(cells: Column, term: Callable[[Column, Column], Column]) -> Column:
+    return F.aggregate(cells, F.lit(0.0), lambda acc, c: acc + term(c["p"], c["e"]))
 
 
 def _chi(c):
@@ -177,21 +183,21 @@ def select_class(nseq: int, alen: int, nseq_threshold: int = 8, alen_threshold:
     return "C2" if nseq <= nseq_threshold or alen <= alen_threshold else "C16"
 
 
-def covariation(ppm: DataFrame, stat: str, cls: str = "C16", allowed=WC_GU) -> Column:
+def covariation(stat: str, cls: str = "C16", allowed=WC_GU) -> Column:
     """Expression of a statistic over the columns of ``with_marginals``; CWC is for gt only."""
     if cls == "CWC" and stat != "gt":
         raise ValueError("only gt sums over allowed cells alone")
     return STATS[stat](_cells(cls, allowed))
 
 
-def ccf(pp: DataFrame, ppm: DataFrame) -> DataFrame:
+def ccf(pp: DataFrame) -> DataFrame:
     """(aln_id, i, j, ccf): norm of the covariances of residue weights about the mean marginal vector."""
-    m = marginals(pp).groupBy("aln_id").agg(*(F.sum(f"m{x}").alias(f"s{x}") for x in range(K)))
-    tot = reduce(add, (F.col(f"s{x}") for x in range(K)))
-    m = m.select("aln_id", *(F.when(tot > 0, F.col(f"s{x}") / tot).otherwise(0.0).alias(f"s{x}") for x in range(K)))
-    n = F.col("nseff")
-    sq = reduce(add, (((n * F.col(f"a{x}") - F.col(f"s{x}")) * (n * F.col(f"b{y}") - F.col(f"s{y}"))) ** 2 for x, y in CELLS))
-    return ppm.join(m, "aln_id").select("aln_id", "i", "j", F.sqrt(sq).alias("ccf"))
+    m = marginals(pp).groupBy("aln_id").agg(*(F.sum(F.col("m")[x]).alias(f"s{x}") for x in range(K))).select("aln_id", F.array(*(f"s{x}" for x in range(K))).alias("s"))
+    m = m.select("aln_id", F.transform("s", lambda v: F.when(_sum(F.col("s")) > 0, v / _sum(F.col("s"))).otherwise(0.0)).alias("s"))
+    d = with_marginals(pp).join(m, "aln_id")
+    off = lambda a: F.zip_with(a, "s", lambda x, s: F.col("nseff") * x - s)
+    d = d.select("aln_id", "i", "j", off("a").alias("a"), off("b").alias("b"))
+    return d.select("aln_id", "i", "j", F.sqrt(F.aggregate(_outer("a", "b"), F.lit(0.0), lambda acc, v: acc + v * v)).alias("ccf"))
 
 
 def raf(counts: DataFrame, allowed=WC_GU) -> DataFrame:
@@ -201,7 +207,7 @@ def raf(counts: DataFrame, allowed=WC_GU) -> DataFrame:
     their types only, so no sequence meets another.
     """
     types = sorted(allowed)
-    c = {t: F.col(f"w{4 * t[0] + t[1]}") for t in types}
+    c = {t: F.col("w")[4 * t[0] + t[1]] for t in types}
     diff = lambda s, t: (s[0] != t[0]) + (s[1] != t[1])
     change = reduce(add, (c[s] * c[t] * float(diff(s, t)) for k, s in enumerate(types) for t in types[k + 1 :]))
     n = F.col("total")
@@ -225,7 +231,7 @@ def correct(cov: DataFrame, *values: str, shift: bool = False) -> DataFrame:
     Means are small aggregates joined back, so the pairs are not sorted. ``shift`` makes the corrected values
     start at 0 in every alignment.
     """
-    both = cov.select("aln_id", F.col("i").alias("c"), *values).unionByName(cov.select("aln_id", F.col("j").alias("c"), *values))
+    both = cov.select("aln_id", F.explode(F.array("i", "j")).alias("c"), *values)
     per = both.groupBy("aln_id", "c").agg(*(F.avg(v).alias(f"_{v}") for v in values))
     all_ = cov.groupBy("aln_id").agg(*(F.avg(v).alias(f"_{v}_m") for v in values))
     a = per.select("aln_id", F.col("c").alias("i"), *(F.col(f"_{v}").alias(f"_{v}_i") for v in values))

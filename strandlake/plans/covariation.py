@@ -24,25 +24,25 @@ def _ppm(spark, sf_dir, source):
 
 def gtest_apc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: orders as alignments, G-test of every column pair, average product correction."""
-    d = _ppm(spark, sf_dir, "orders").select("aln_id", "i", "j", "nseff", P.covariation(None, "gt", "C16").alias("gt"))
+    d = _ppm(spark, sf_dir, "orders").select("aln_id", "i", "j", "nseff", P.covariation("gt", "C16").alias("gt"))
     return P.correct(d, "gt").select("aln_id", "i", "j", "nseff", rnd(F.col("gt")).alias("gt"), rnd(F.col("gt_apc")).alias("gtp"))
 
 
 def cov_stat(spark: SparkSession, sf_dir: str, stat: str, source: str = "embeddings") -> DataFrame:
     """One statistic over all pairs: all cells, pooled cells, and both corrections of the first."""
-    d = _ppm(spark, sf_dir, source).select("aln_id", "i", "j", P.covariation(None, stat, "C16").alias("c16"), P.covariation(None, stat, "C2").alias("c2"))
+    d = _ppm(spark, sf_dir, source).select("aln_id", "i", "j", P.covariation(stat, "C16").alias("c16"), P.covariation(stat, "C2").alias("c2"))
     d = P.correct(d, "c16")
     return d.select("aln_id", "i", "j", *(rnd(F.col(c)).alias(c) for c in ("c16", "c2", "c16_apc", "c16_asc")))
 
 
 def cov_gt_wc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G-test over the allowed cells alone."""
-    return _ppm(spark, sf_dir, "embeddings").select("aln_id", "i", "j", rnd(P.covariation(None, "gt", "CWC")).alias("gt_wc"))
+    return _ppm(spark, sf_dir, "embeddings").select("aln_id", "i", "j", rnd(P.covariation("gt", "CWC")).alias("gt_wc"))
 
 
 def cov_ccf(spark: SparkSession, sf_dir: str) -> DataFrame:
     pp = P.joint(P.joint_counts(SOURCES["embeddings"](spark, sf_dir)))
-    return P.ccf(pp, P.with_marginals(pp)).select("aln_id", "i", "j", rnd(F.col("ccf"), 5).alias("ccf"))
+    return P.ccf(pp).select("aln_id", "i", "j", rnd(F.col("ccf"), 5).alias("ccf"))
 
 
 def cov_raf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,12 +53,12 @@ def cov_raf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def joint_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pp = P.joint(P.joint_counts(SOURCES["orders"](spark, sf_dir)))
-    return pp.select("aln_id", "i", "j", "nseff", "ngap", *(rnd(F.col(f"p{c}"), 9).alias(f"p{c}") for c in range(16)))
+    return pp.select("aln_id", "i", "j", "nseff", "ngap", *(rnd(F.col("p")[c], 9).alias(f"p{c}") for c in range(16)))
 
 
 def col_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = P.marginals(P.joint(P.joint_counts(SOURCES["events"](spark, sf_dir))))
-    return m.select("aln_id", "col", *(rnd(F.col(f"m{x}"), 9).alias(f"m{x}") for x in range(4)))
+    return m.select("aln_id", "col", *(rnd(F.col("m")[x], 9).alias(f"m{x}") for x in range(4)))
 
 
 def col_singles(spark: SparkSession, sf_dir: str) -> DataFrame:

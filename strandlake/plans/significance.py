@@ -22,7 +22,7 @@ def scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     c = pseudo.embeddings_cells(spark, sf_dir)
     null = X.shuffle_within_columns(c, 11).withColumn("aln_id", F.concat("aln_id", F.lit("#n"))).drop("rep")
     pp = P.with_marginals(P.joint(P.joint_counts(c.unionByName(null))))
-    d = P.correct(materialize(pp.select("aln_id", "i", "j", P.covariation(None, "gt").alias("gt")), "gt"), "gt")
+    d = P.correct(materialize(pp.select("aln_id", "i", "j", P.covariation("gt").alias("gt")), "gt"), "gt")
     d = materialize(d.select("aln_id", "i", "j", rnd(F.col("gt_apc")).alias("score")), "scores")
     isnull = F.col("aln_id").endswith("#n")
     return d.where(~isnull), d.where(isnull).withColumn("aln_id", F.expr("substring(aln_id, 1, length(aln_id) - 2)"))
