@@ -50,6 +50,13 @@ def _rows(seqs: DataFrame) -> DataFrame:
     return once(seqs, "seq_id", "aln_id", "aseq", "wgt").where(F.col("aln_id").isNotNull() & F.col("aseq").rlike("[A-Za-z]"))
 
 
+def _spread_join(seqs: DataFrame, per_aln: DataFrame, salts: int = 16) -> DataFrame:
+    """seqs with the columns of per_aln, one row for each alignment: its few rows are repeated under every salt, so a large alignment is in no single task."""
+    left = seqs.withColumn("_salt", F.pmod(F.xxhash64("seq_id"), F.lit(salts)).cast("int"))
+    right = per_aln.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, ["aln_id", "_salt"]).drop("_salt")
+
+
 def active_configs(cfg: DataFrame) -> DataFrame:
     """(cfg_id, aln_id, thr, n_want), once for each configuration; thr null where the filter is off."""
     return once(cfg, "cfg_id", "aln_id", "idthresh", "n_want").select("cfg_id", "aln_id", identity_threshold(F.col("idthresh")).alias("thr"), "n_want")
@@ -66,7 +73,7 @@ def similar_pairs(seqs: DataFrame, cfg: DataFrame, block: int = 512) -> DataFram
     conf = active_configs(cfg).where("thr IS NOT NULL AND aln_id IS NOT NULL")
     need = conf.groupBy("aln_id").agg(F.min("thr").alias("least"))
     sizes = seqs.groupBy("aln_id").agg(F.count(F.lit(1)).alias("n")).join(need, "aln_id").select("aln_id", "least", F.ceil(F.col("n") / block).cast("int").alias("nb"))
-    rows = once(seqs.join(sizes, "aln_id"), "seq_id", "aln_id", "aseq", "least", "nb").where(F.col("aseq").rlike("[A-Za-z]"))
+    rows = once(_spread_join(seqs, sizes), "seq_id", "aln_id", "aseq", "least", "nb").where(F.col("aseq").rlike("[A-Za-z]"))
     rows = rows.withColumn("b", F.pmod(F.xxhash64("seq_id"), F.col("nb")).cast("int"))
     # a row meets every block once: as the left side of later blocks, the right side of earlier ones
     rows = rows.withColumn("o", F.explode(F.expr("sequence(0, nb - 1)"))).select("aln_id", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), "b", "seq_id", "aseq", "least")
@@ -128,7 +135,7 @@ def choose(seqs: DataFrame, cfg: DataFrame, part: int = 512) -> DataFrame:
     nothing. Repeated deliveries count once.
     """
     conf = active_configs(cfg).where("aln_id IS NOT NULL AND n_want > 0")
-    rows = _rows(seqs.join(conf.select("aln_id").distinct(), "aln_id", "left_semi"))
+    rows = _rows(_spread_join(seqs, conf.select("aln_id").distinct()))
     cand = rows.join(conf, "aln_id").select("cfg_id", "aln_id", "thr", "n_want", "seq_id", "aseq", F.when((F.col("wgt") > 0) & ~F.isnan("wgt"), F.col("wgt")).otherwise(1.0).alias("wgt"))
     schema = "cfg_id long, aln_id string, thr double, n_want int, seq_id long, aseq string, wgt double, pick_no int"
 
