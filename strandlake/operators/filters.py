@@ -6,6 +6,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -28,12 +30,50 @@ def long_cells(rows: DataFrame) -> DataFrame:
     return rows.where(F.length("aseq") > 0).select("aln_id", "seq_id", F.posexplode(F.split(text, "")).alias("p", "sym")).where("sym <> ''").select("aln_id", "seq_id", (F.col("p") + 1).cast("int").alias("col"), "sym")
 
 
+_SYM = np.full(256, 26, np.uint8)  # letters 0..25, other symbols 26, missing data 27
+for _c in range(26):
+    _SYM[65 + _c] = _SYM[97 + _c] = _c
+_SYM[[ord("T"), ord("t")]] = ord("U") - 65
+_SYM[ord("~")] = 27
+
+
+def _symbols(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbol, row and column (from 0) of every character of a string array."""
+    text = col.fill_null("").to_pylist()
+    n = np.array([len(t) for t in text], np.int64)
+    sym = _SYM[np.frombuffer("".join(text).encode("latin-1", "replace"), np.uint8)]
+    row = np.repeat(np.arange(len(text)), n)
+    return sym, row, np.arange(len(sym)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def column_counts(rows: DataFrame) -> DataFrame:
+    """(aln_id, col, sym, n): characters of each column; sym 0..25 are letters (T as U), 26 gaps and others, 27 missing data.
+
+    Counted batch by batch before any shuffle, so only counts move and a large alignment is no hot key.
+    """
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                part = b.slice(at, 4096)
+                aln = part.column(0).dictionary_encode()
+                sym, row, col = _symbols(part.column(1))
+                if not len(sym):
+                    continue
+                a = aln.indices.to_numpy()[row].astype(np.int64)
+                key, n = np.unique((a << 40) | (col << 5) | sym, return_counts=True)
+                yield pa.RecordBatch.from_arrays([aln.dictionary.take(pa.array(key >> 40)), pa.array(((key >> 5) & (2**35 - 1)).astype(np.int32) + 1), pa.array((key & 31).astype(np.int32)), pa.array(n.astype(np.int64))], names=["aln_id", "col", "sym", "n"])
+
+    part = rows.select("aln_id", "aseq").where("aln_id IS NOT NULL AND aseq IS NOT NULL").mapInArrow(run, "aln_id string, col int, sym int, n long")
+    return part.groupBy("aln_id", "col", "sym").agg(F.sum("n").alias("n"))
+
+
 def keep_columns(rows: DataFrame, gapthresh: float = 0.5) -> DataFrame:
     """(aln_id, col, i): columns in which residues make up at least 1 - gapthresh; missing data is no evidence.
 
     col counts from 1 in the alignment given, i from 0 over the kept ones: the map of later results to columns.
     """
-    c = long_cells(rows).groupBy("aln_id", "col").agg(F.sum(F.col("sym").rlike("[A-Z]").cast("long")).alias("r"), F.sum((F.col("sym") != "~").cast("long")).alias("t"))
+    c = column_counts(rows).groupBy("aln_id", "col").agg(F.sum(F.when(F.col("sym") < 26, F.col("n")).otherwise(0)).alias("r"), F.sum(F.when(F.col("sym") < 27, F.col("n")).otherwise(0)).alias("t"))
     kept = c.where((F.col("r") > 0) & (F.col("r") >= (1 - gapthresh) * F.col("t")))
     return kept.select("aln_id", "col", (F.row_number().over(W.partitionBy("aln_id").orderBy("col")) - 1).cast("int").alias("i"))
 
@@ -97,13 +137,28 @@ def msa_stats(rows: DataFrame) -> DataFrame:
     return g.select("aln_id", "nseq", "alen", "mean_len", F.coalesce("sd_len", F.lit(0.0)).alias("sd_len"), "n_runs", F.when(F.col("n_runs") > 0, F.col("s") / F.col("n_runs")).otherwise(0.0).alias("mean_run"), "max_run")
 
 
-def pb_weights(rows: DataFrame) -> DataFrame:
-    """(aln_id, seq_id, w): position-based weights, mean 1 in an alignment: columns give 1/(kinds * count of the residue)."""
-    c = long_cells(rows).where(F.col("sym").rlike("[A-Z]"))
-    n = c.groupBy("aln_id", "col", "sym").agg(F.count(F.lit(1)).alias("n"))
+def pb_weights(rows: DataFrame, chunk: int = 2048) -> DataFrame:
+    """(aln_id, seq_id, w): position-based weights, mean 1 in an alignment: columns give 1/(kinds * count of the residue).
+
+    Chunks of an alignment's rows meet its small table of shares; rows without residues have no weight.
+    """
+    n = column_counts(rows).where("sym < 26")
     k = n.groupBy("aln_id", "col").agg(F.count(F.lit(1)).alias("k"))
     share = n.join(k, ["aln_id", "col"]).select("aln_id", "col", "sym", (1.0 / (F.col("k") * F.col("n"))).alias("s"))
-    per = c.join(share, ["aln_id", "col", "sym"]).groupBy("aln_id", "seq_id").agg(F.sum("s").alias("s"))
+    nb = rows.groupBy("aln_id").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("nb"))
+    parts = nb.select("aln_id", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("part"))
+
+    def weigh(left: pa.Table, right: pa.Table) -> pa.Table:
+        sym, row, col = _symbols(left["aseq"].combine_chunks())
+        width = max(int(col.max()) + 1 if len(col) else 0, int(right["col"].to_numpy().max()) if len(right) else 0)
+        table = np.zeros((width + 1, 28))
+        table[right["col"].to_numpy() - 1, right["sym"].to_numpy()] = right["s"].to_numpy()
+        s = np.bincount(row, table[col, sym], minlength=len(left))
+        some = np.bincount(row, sym < 26, minlength=len(left)) > 0
+        return pa.table({"aln_id": left["aln_id"].filter(pa.array(some)), "seq_id": left["seq_id"].filter(pa.array(some)), "s": pa.array(s[some])})
+
+    left = rows.where("aln_id IS NOT NULL AND aseq IS NOT NULL").select("aln_id", "seq_id", "aseq").join(nb, "aln_id").withColumn("part", F.pmod(F.xxhash64("seq_id"), F.col("nb")).cast("int")).drop("nb")
+    per = left.groupBy("aln_id", "part").cogroup(share.join(parts, "aln_id").groupBy("aln_id", "part")).applyInArrow(weigh, "aln_id string, seq_id long, s double")
     tot = per.groupBy("aln_id").agg(F.sum("s").alias("t"), F.count(F.lit(1)).alias("n"))
     return per.join(tot, "aln_id").select("aln_id", "seq_id", (F.col("s") * F.col("n") / F.col("t")).alias("w"))
 

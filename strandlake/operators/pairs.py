@@ -24,11 +24,10 @@ PRIOR = 1e-10
 
 
 def _grid(cells: DataFrame) -> DataFrame:
-    """All column pairs i < j of each alignment, and its number of sequences."""
-    cols = cells.select("aln_id", "col").distinct()
-    n = cells.groupBy("aln_id").agg(F.countDistinct("seq").alias("nseq"))
-    a, b = cols.select("aln_id", F.col("col").alias("i")), cols.select("aln_id", F.col("col").alias("j"))
-    return a.join(b, "aln_id").where("i < j").join(n, "aln_id")
+    """All column pairs i < j of each alignment, from the list of its columns."""
+    cols = cells.groupBy("aln_id").agg(F.sort_array(F.collect_set("col")).alias("c"))
+    pair = F.expr("flatten(transform(c, (p, k) -> transform(slice(c, k + 2, size(c)), q -> struct(p as i, q as j))))")
+    return cols.select("aln_id", F.explode(pair).alias("p")).select("aln_id", "p.*")
 
 
 def joint_counts(cells: DataFrame, weights: DataFrame | None = None) -> DataFrame:
@@ -45,7 +44,7 @@ def joint_counts(cells: DataFrame, weights: DataFrame | None = None) -> DataFram
     counts = counts.select("aln_id", "i", "j", F.array(*(f"w{c}" for c in range(16))).alias("w"))
     total = cells.select("aln_id", "seq").distinct()
     total = total.withColumn("wgt", F.lit(1.0)) if weights is None else total.join(weights, ["aln_id", "seq"], "left").fillna(1.0, ["wgt"])
-    grid = _grid(cells).drop("nseq").join(total.groupBy("aln_id").agg(F.sum("wgt").alias("total")), "aln_id")
+    grid = _grid(cells).join(total.groupBy("aln_id").agg(F.sum("wgt").alias("total")), "aln_id")
     return grid.join(counts, ["aln_id", "i", "j"], "left").select("aln_id", "i", "j", F.coalesce("w", F.array_repeat(F.lit(0.0), 16)).alias("w"), "total")
 
 

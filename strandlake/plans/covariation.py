@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strandlake.operators import pairs as P
 from strandlake.operators import pseudo
 from strandlake.plans import oracle as O
+from strandlake.storage import materialize
 
 SOURCES = {"orders": pseudo.orders_cells, "events": pseudo.events_cells, "embeddings": pseudo.embeddings_cells}
 
@@ -18,20 +19,25 @@ def rnd(c, digits: int = 6):
     return (F.round(c, digits) + F.lit(0.0)).cast("double")
 
 
+def _pp(spark, sf_dir, source):
+    # one row for each column pair, read several times: written once instead of counted again
+    return materialize(P.joint(P.joint_counts(SOURCES[source](spark, sf_dir))), "joint")
+
+
 def _ppm(spark, sf_dir, source):
-    return P.with_marginals(P.joint(P.joint_counts(SOURCES[source](spark, sf_dir))))
+    return P.with_marginals(_pp(spark, sf_dir, source))
 
 
 def gtest_apc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: orders as alignments, G-test of every column pair, average product correction."""
     d = _ppm(spark, sf_dir, "orders").select("aln_id", "i", "j", "nseff", P.covariation("gt", "C16").alias("gt"))
-    return P.correct(d, "gt").select("aln_id", "i", "j", "nseff", rnd(F.col("gt")).alias("gt"), rnd(F.col("gt_apc")).alias("gtp"))
+    return P.correct(materialize(d, "scores"), "gt").select("aln_id", "i", "j", "nseff", rnd(F.col("gt")).alias("gt"), rnd(F.col("gt_apc")).alias("gtp"))
 
 
 def cov_stat(spark: SparkSession, sf_dir: str, stat: str, source: str = "embeddings") -> DataFrame:
     """One statistic over all pairs: all cells, pooled cells, and both corrections of the first."""
     d = _ppm(spark, sf_dir, source).select("aln_id", "i", "j", P.covariation(stat, "C16").alias("c16"), P.covariation(stat, "C2").alias("c2"))
-    d = P.correct(d, "c16")
+    d = P.correct(materialize(d, "scores"), "c16")
     return d.select("aln_id", "i", "j", *(rnd(F.col(c)).alias(c) for c in ("c16", "c2", "c16_apc", "c16_asc")))
 
 
@@ -41,7 +47,7 @@ def cov_gt_wc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cov_ccf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pp = P.joint(P.joint_counts(SOURCES["embeddings"](spark, sf_dir)))
+    pp = _pp(spark, sf_dir, "embeddings")
     return P.ccf(pp).select("aln_id", "i", "j", rnd(F.col("ccf"), 5).alias("ccf"))
 
 

@@ -21,7 +21,8 @@ def scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Corrected G-test scores of the vectors' alignments, and of their columns shuffled: replicates are alignments of their own, so one job does both."""
     c = pseudo.embeddings_cells(spark, sf_dir)
     null = X.shuffle_within_columns(c, 11).withColumn("aln_id", F.concat("aln_id", F.lit("#n"))).drop("rep")
-    pp = P.with_marginals(P.joint(P.joint_counts(c.unionByName(null))))
+    both = materialize(c.unionByName(null), "cells")
+    pp = P.with_marginals(materialize(P.joint(P.joint_counts(both)), "joint"))
     d = P.correct(materialize(pp.select("aln_id", "i", "j", P.covariation("gt").alias("gt")), "gt"), "gt")
     d = materialize(d.select("aln_id", "i", "j", rnd(F.col("gt_apc")).alias("score")), "scores")
     isnull = F.col("aln_id").endswith("#n")
