@@ -1,8 +1,7 @@
 """Joint and marginal residue probabilities of column pairs, and the statistics on them.
 
-One shuffle by sequence brings a sequence's residues together; pairs are formed within the row and counted
-on the map side, so what is shuffled next is at most one row for each column pair and task. A pair
-is one row with an array of its 16 joint probabilities: every statistic is then a short expression over arrays.
+Chunks of sequences are counted by matrix products, so no row is made for each pair of residues of each sequence, and
+what is summed next is one row for each column pair and chunk. A pair is one row with an array of its 16 joint probabilities: every statistic is then a short expression over arrays.
 """
 
 from __future__ import annotations
@@ -30,22 +29,39 @@ def _grid(cells: DataFrame) -> DataFrame:
     return cols.select("aln_id", F.explode(pair).alias("p")).select("aln_id", "p.*")
 
 
-def joint_counts(cells: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+def _products(x: np.ndarray, w: np.ndarray, i: np.ndarray, j: np.ndarray) -> dict[str, np.ndarray]:
+    """Weight of every residue pair at the columns i, j of a matrix of codes, by one matrix product for each pair of residues."""
+    hot = [(x == k).astype(np.float64) for k in range(K)]
+    return {f"w{4 * a + b}": ((hot[a] * w[:, None]).T @ hot[b])[i, j] for a, b in CELLS}
+
+
+def joint_counts(cells: DataFrame, weights: DataFrame | None = None, chunk: int = 2048) -> DataFrame:
     """(aln_id, i, j, w, total): weight of the sequences with residue x at i and y at j, in the array w at 4x+y.
 
     weights: (aln_id, seq, wgt), 1 where absent. Only pairs of residues count. Pairs of columns that no sequence has
-    residues at have zeros; an alignment of one column has no pairs; an empty table gives none.
+    residues at have zeros; an alignment of one column has no pairs; an empty table gives none. Chunks of about ``chunk``
+    sequences are counted by matrix products and their counts summed, so a large alignment is spread over tasks.
     """
-    rows = cells.where(F.col("res").between(0, K - 1)).groupBy("aln_id", "seq").agg(F.sort_array(F.collect_list(F.struct("col", "res"))).alias("r"))
-    rows = rows.withColumn("w", F.lit(1.0)) if weights is None else rows.join(weights.withColumnRenamed("wgt", "w"), ["aln_id", "seq"], "left").fillna(1.0, ["w"])
-    pair = F.expr("flatten(transform(r, (p, k) -> transform(slice(r, k + 2, size(r)), q -> struct(p.col as i, q.col as j, p.res * 4 + q.res as c))))")
-    hit = rows.select("aln_id", "w", F.explode(pair).alias("p")).select("aln_id", "w", "p.*")
-    counts = hit.groupBy("aln_id", "i", "j").agg(*(F.sum(F.when(F.col("c") == c, F.col("w")).otherwise(0.0)).alias(f"w{c}") for c in range(16)))
-    counts = counts.select("aln_id", "i", "j", F.array(*(f"w{c}" for c in range(16))).alias("w"))
     total = cells.select("aln_id", "seq").distinct()
     total = total.withColumn("wgt", F.lit(1.0)) if weights is None else total.join(weights, ["aln_id", "seq"], "left").fillna(1.0, ["wgt"])
-    grid = _grid(cells).join(total.groupBy("aln_id").agg(F.sum("wgt").alias("total")), "aln_id")
-    return grid.join(counts, ["aln_id", "i", "j"], "left").select("aln_id", "i", "j", F.coalesce("w", F.array_repeat(F.lit(0.0), 16)).alias("w"), "total")
+    per = total.groupBy("aln_id").agg(F.sum("wgt").alias("total"), F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("nb"))
+    rows = cells.where(F.col("res").between(0, K - 1)).join(per.select("aln_id", "nb"), "aln_id").withColumn("part", F.pmod(F.xxhash64("seq"), F.col("nb")).cast("int"))
+    rows = rows.withColumn("wgt", F.lit(1.0)) if weights is None else rows.join(weights, ["aln_id", "seq"], "left").fillna(1.0, ["wgt"])
+
+    def count(t: pa.Table) -> pa.Table:
+        seq, first, at = np.unique(t["seq"].to_numpy(), return_index=True, return_inverse=True)
+        col, place = np.unique(t["col"].to_numpy(), return_inverse=True)
+        x = np.full((len(seq), len(col)), K, np.uint8)
+        x[at, place] = t["res"].to_numpy()
+        i, j = np.triu_indices(len(col), 1)
+        got = _products(x, t["wgt"].to_numpy()[first], i, j)
+        n = len(i)
+        return pa.table({"aln_id": pa.array([t["aln_id"][0].as_py()] * n, pa.string()), "i": pa.array(col[i].astype(np.int32)), "j": pa.array(col[j].astype(np.int32)), **got})
+
+    wide = ", ".join(f"w{c} double" for c in range(16))
+    counts = rows.select("aln_id", "seq", "col", "res", "wgt", "part").groupBy("aln_id", "part").applyInArrow(count, f"aln_id string, i int, j int, {wide}")
+    counts = counts.groupBy("aln_id", "i", "j").agg(*(F.sum(f"w{c}").alias(f"w{c}") for c in range(16))).select("aln_id", "i", "j", F.array(*(f"w{c}" for c in range(16))).alias("w"))
+    return _grid(cells).join(per.select("aln_id", "total"), "aln_id").join(counts, ["aln_id", "i", "j"], "left").select("aln_id", "i", "j", F.coalesce("w", F.array_repeat(F.lit(0.0), 16)).alias("w"), "total")
 
 
 def joint_counts_rows(rows: DataFrame, chunk: int = 2048) -> DataFrame:
@@ -66,9 +82,8 @@ def joint_counts_rows(rows: DataFrame, chunk: int = 2048) -> DataFrame:
         for n, s in enumerate(text):
             x[n, : len(s)] = code[np.frombuffer(s.encode("latin-1", "replace"), np.uint8)]
         w = t["wgt"].to_numpy()
-        hot = [(x == k).astype(np.float64) for k in range(K)]
         i, j = np.triu_indices(width, 1)
-        cols = {f"w{4 * a + b}": ((hot[a] * w[:, None]).T @ hot[b])[i, j] for a, b in CELLS}
+        cols = _products(x, w, i, j)
         n = len(i)
         return pa.table({"aln_id": pa.array([t["aln_id"][0].as_py()] * n, pa.string()), "i": pa.array(i + 1, pa.int32()), "j": pa.array(j + 1, pa.int32()), **cols, "total": pa.array(np.full(n, w.sum()))})
 
