@@ -15,6 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from strandlake.llm.text import sentences, words
 
@@ -169,11 +170,12 @@ def train_on(docs: DataFrame, labels: DataFrame, subjects: DataFrame, per_langua
     lab = weak_labels(docs, labels, subjects).groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
     lang = F.lower(F.substring(F.trim(F.coalesce("lang", F.lit(""))), 1, 2))
     bucket = F.when(lang.isin("en", "de", "fr", "es"), lang).otherwise(F.lit("other"))
-    from pyspark.sql import Window as W
-
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), bucket.alias("lang")).join(lab, "doc_id")
-    w = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = ids.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= per_language).select("doc_id", "subjects")
+    ids = ids.withColumn("h", F.xxhash64("doc_id")).withColumn("salt", F.pmod("h", F.lit(64)))
+    for part in (("lang", "salt"), ("lang",)):  # the lowest of each salt first, so that no task sorts a whole language
+        w = W.partitionBy(*part).orderBy("h", "doc_id")
+        ids = ids.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= per_language)
+    ids = ids.select("doc_id", "subjects")
 
     def cut(batches):
         for b in batches:
