@@ -148,6 +148,8 @@ SELECT queryname, {O.r("CASE WHEN count(*) > 2 AND min(len) < max(len) THEN regr
     "structure_comparison": _CT + """, g AS (SELECT aln_id, count(*) FILTER (WHERE j - i < 12) AS only_a, CAST(0 AS BIGINT) AS only_b, count(*) FILTER (WHERE j - i >= 12) AS "both" FROM ct GROUP BY 1) SELECT *, CASE WHEN only_a = 0 THEN 'equal' ELSE 'worse' END AS verdict FROM g""",
     "fasta_again": f"WITH {_ROWS} SELECT seq_id, aseq FROM rows WHERE aseq IS NOT NULL",
     "stockholm_again": f"WITH {_ROWS} SELECT aln_id, seq_id, aseq FROM rows WHERE length(aseq) > 0",
+    "identity_clusters": f"""WITH RECURSIVE {O.CELLS["events"]}, {_IDENT}, e AS (SELECT aln_id, a AS u, b AS v FROM ident WHERE same / m >= 0.5 UNION ALL SELECT aln_id, b, a FROM ident WHERE same / m >= 0.5),
+r AS (SELECT DISTINCT aln_id, seq, seq AS c FROM cells UNION SELECT r.aln_id, r.seq, e.v FROM r JOIN e ON e.aln_id = r.aln_id AND e.u = r.c) SELECT aln_id, seq, min(c) AS cluster FROM r GROUP BY 1, 2""",
     "joint_substitutions": f"""WITH {O.CELLS["embeddings"]}, {_IDENT}, p AS (SELECT aln_id, a, b FROM ident WHERE same / m >= CAST(0.4 AS DOUBLE)), o AS (SELECT c.res AS a, d.res AS b, count(*) AS n FROM p JOIN cells c ON c.aln_id = p.aln_id AND c.seq = p.a JOIN cells d ON d.aln_id = p.aln_id AND d.seq = p.b AND d.col = c.col GROUP BY 1, 2)
 SELECT CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, CAST(sum(n) / 2 AS DOUBLE) AS n FROM (SELECT a, b, n FROM o UNION ALL SELECT b, a, n FROM o) GROUP BY 1, 2""",
 }
