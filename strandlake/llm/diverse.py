@@ -70,6 +70,7 @@ def similar_pairs(seqs: DataFrame, cfg: DataFrame, block: int = 512) -> DataFram
     spreads over many tasks. Rows that are null or without letters take no part, repeated deliveries count
     once; nothing is compared for alignments whose filters are all off.
     """
+    seqs = seqs.select("seq_id", "aln_id", "aseq")
     conf = active_configs(cfg).where("thr IS NOT NULL AND aln_id IS NOT NULL")
     need = conf.groupBy("aln_id").agg(F.min("thr").alias("least"))
     sizes = seqs.groupBy("aln_id").agg(F.count(F.lit(1)).alias("n")).join(need, "aln_id").select("aln_id", "least", F.ceil(F.col("n") / block).cast("int").alias("nb"))
@@ -134,6 +135,7 @@ def choose(seqs: DataFrame, cfg: DataFrame, part: int = 512) -> DataFrame:
     as many levels as needed. A null or not positive n_want gives no rows; a filter that is off forbids
     nothing. Repeated deliveries count once.
     """
+    seqs = seqs.select("seq_id", "aln_id", "aseq", "wgt")
     conf = active_configs(cfg).where("aln_id IS NOT NULL AND n_want > 0")
     rows = _rows(_spread_join(seqs, conf.select("aln_id").distinct()))
     cand = rows.join(conf, "aln_id").select("cfg_id", "aln_id", "thr", "n_want", "seq_id", "aseq", F.when((F.col("wgt") > 0) & ~F.isnan("wgt"), F.col("wgt")).otherwise(1.0).alias("wgt"))

@@ -154,9 +154,9 @@ def weak_labels(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> Data
     Labels are trimmed and lowered, unknown and null ones dropped. A path or title names a subject if a whole word of it is the subject.
     """
     known = subjects.select(F.lower(F.trim("subject")).alias("subject")).where("subject <> ''").distinct()
-    hand = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.trim("subject")).alias("subject")).join(F.broadcast(known), "subject", "left_semi").select("doc_id", "subject")
+    hand = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.trim("subject")).alias("subject")).join(known, "subject", "left_semi").select("doc_id", "subject")
     word = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.split(F.lower(F.concat_ws(" ", "source", "title", "aln_name")), "[^a-z]+")).alias("subject"))
-    named = word.join(F.broadcast(known), "subject", "left_semi").select("doc_id", "subject")
+    named = word.join(known, "subject", "left_semi").select("doc_id", "subject")
     return hand.unionByName(named).where("doc_id IS NOT NULL").distinct()
 
 
@@ -166,7 +166,9 @@ def train_on(docs: DataFrame, labels: DataFrame, subjects: DataFrame, per_langua
     The documents are those whose id hashes lowest, so the sample is the same on every run, and at most 8 languages times ``per_language`` come to the driver, in sentences,
     of each document ``max_sentences`` at even distances. Only training is bounded; every document is classified whole.
     """
-    names = sorted({r.s for r in subjects.select(F.lower(F.trim("subject")).alias("s")).where("s <> ''").distinct().limit(1000).collect()})
+    names = sorted({r.s for r in subjects.select(F.lower(F.trim("subject")).alias("s")).where("s <> ''").distinct().limit(1001).collect()})
+    if len(names) > 1000:
+        raise ValueError("the model holds one column of weights for each subject: at most 1000")
     lab = weak_labels(docs, labels, subjects).groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
     lang = F.lower(F.substring(F.trim(F.coalesce("lang", F.lit(""))), 1, 2))
     bucket = F.when(lang.isin("en", "de", "fr", "es"), lang).otherwise(F.lit("other"))

@@ -9,7 +9,7 @@ import unicodedata
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
 _INLINE = re.compile(r"</?(?:b|i|u|em|strong|span|a|tt|code|sup|sub)(?:\s[^<>]{0,200})?>", re.I)
 _WORD = re.compile(r"[^\W_]+")
-_INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠎​-‏‪-‮⁠-⁤⁦-⁯︀-️﻿]")
+_INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufe00-\ufe0f\ufeff]")
 _ASCII_ODD = re.compile(r"[<&]")
 
 
@@ -43,7 +43,7 @@ def sentences(text: str | None) -> list[str]:
         if _BLOCK.match(line):
             continue
         for s in _END.split(line):
-            s = s.strip(" \t\r ﻿-*•")
+            s = s.strip(" \t\r\u00a0\ufeff-*•")
             if len(s) > 1 and _LETTER.search(s):
                 out.append(s)
     return out

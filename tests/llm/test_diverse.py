@@ -5,7 +5,7 @@ import numpy as np
 
 from strandlake.llm import diverse as D
 
-SEQS = "seq_id long, aln_id string, aseq string, wgt double, ident double, thr int"
+SEQS = "seq_id long, aln_id string, aseq string, wgt double, least double, nb int"
 CFG = "cfg_id long, aln_id string, idthresh double, n_want int, gapthresh double, b int"
 
 

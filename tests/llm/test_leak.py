@@ -9,8 +9,8 @@ DOC, ITEM = "doc_id long, text string, item_id long", "item_id long, passage str
 
 
 def test_words():
-    assert words("<p>The <b>MO</b>lec­ular cl​ock’s Ｄéjà&nbsp;vu_x</p>") == ["the", "molecular", "clock", "s", "deja", "vu", "x"]
-    assert words(None) == words("") == words(" ..﻿ ") == []
+    assert words("<p>The <b>MO</b>lec\u00adular cl\u200bock’s Ｄéjà&nbsp;vu_x</p>") == ["the", "molecular", "clock", "s", "deja", "vu", "x"]
+    assert words(None) == words("") == words(" ..\ufeff ") == []
     assert plain("a < b") == "a < b"
 
 
