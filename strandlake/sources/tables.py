@@ -31,8 +31,8 @@ def write_table(df: DataFrame, path: str, *order: str) -> None:
 def read_null_histogram(spark: SparkSession, path: str) -> DataFrame:
     """(score, count, w): w is the least gap between scores, the bins' width."""
     d = _fields(spark, path).where(F.size("f") >= 2).select(F.col("f")[0].cast("double").alias("score"), F.col("f")[1].cast("long").alias("count"))
-    gap = d.withColumn("g", F.col("score") - F.lag("score").over(W.orderBy("score"))).where("g > 0").agg(F.min("g").alias("w"))
-    return d.join(gap, F.lit(True), "left")  # one row: a constant beside every bin
+    g = F.col("score") - F.lag("score").over(W.orderBy("score"))  # a histogram is one short list
+    return d.withColumn("g", F.when(g > 0, g)).withColumn("w", F.min("g").over(W.partitionBy(F.lit(1)))).drop("g")
 
 
 def read_matrices(spark: SparkSession, path: str) -> DataFrame:
