@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -150,45 +152,70 @@ def gibbs(h: np.ndarray, e: np.ndarray, n: int, sweeps: int, rng: np.random.Gene
 # ---- simulation ------------------------------------------------------------------------------
 
 
-def evolve(root: np.ndarray, q: np.ndarray, edges: list[tuple[int, int, float]], n: int, rng: np.random.Generator, pairs: list[tuple[int, int]] = (), q16: np.ndarray | None = None, indel: float = 0.0) -> np.ndarray:
-    """Leaves of a tree evolved from a root: columns by q, paired columns (from 0) together by a 16-state matrix, deletions at rate ``indel``.
+def transitions(q: np.ndarray) -> Callable[[float], np.ndarray]:
+    """t -> cumulated rows of exp(t q)."""
+    if not np.array_equal(q, q.T):
+        return lambda t: at_time(q, t).cumsum(1)
+    w, u = np.linalg.eigh(q)
+    return lambda t: np.maximum((u * np.exp(w * t)) @ u.T, 0).cumsum(1)
+
 
-    Insertions would be columns of their own, gapped elsewhere; a deleted residue stays a gap below.
+def evolve(root: np.ndarray, q: np.ndarray, edges: list[tuple[int, int, float]], n: int, seed: int, pairs: list[tuple[int, int]] = (), q16: np.ndarray | None = None, indel: float = 0.0, part: int = 0, parts: int = 1) -> tuple[list[int], np.ndarray]:
+    """Leaves (numbers, rows) of a tree evolved from a root: columns by q, paired columns (from 0) together by a 16-state matrix, deletions at rate ``indel``.
+
+    Insertions would be columns of their own, gapped elsewhere; a deleted residue stays a gap below. Every node draws from a
+    stream of its own, so the ``parts`` of the leaves together are what one call gives; only a path's rows are held beside the part's.
     """
-    states = {max(p for p, *_ in edges): root}
-    paired = {c for p in pairs for c in p}
-    alone = np.array([c for c in range(len(root)) if c not in paired], int)
+    left, right = np.array(pairs, int).reshape(-1, 2).T
+    alone = np.setdiff1d(np.arange(len(root)), [left, right])
     kids: dict[int, list[tuple[int, float]]] = {}
     for p, c, b in edges:
         kids.setdefault(p, []).append((c, b))
-    todo = list(states)
-    for u in todo:
-        for c, b in kids.get(u, ()):
-            row = states[u].copy()
-            p4 = at_time(q, b).cumsum(1)
+    order = [max(p for p, *_ in edges)]
+    for u in order:
+        order.extend(c for c, _ in kids.get(u, ()))
+    leaves = dict.fromkeys(range(n), 1)
+    for u in reversed(order):
+        if u in kids:
+            leaves[u] = sum(leaves[c] for c, _ in kids[u])
+    low, high = n * part // parts, n * (part + 1) // parts
+    p4_at, p16_at = transitions(q), transitions(q16) if len(left) and q16 is not None else None
+    ids, rows, todo = [], [], [(order[0], root, 0)]
+    while todo:
+        u, above, at = todo.pop()
+        if u not in kids:
+            ids.append(u)
+            rows.append(above)
+            continue
+        for c, b in kids[u]:
+            first, at = at, at + leaves[c]
+            if first >= high or at <= low:
+                continue
+            rng, row = np.random.Generator(np.random.Philox(key=np.array([seed, c], np.uint64))), above.copy()
             live = alone[row[alone] < GAP]
-            row[live] = (rng.random(len(live))[:, None] * p4[row[live], -1:] > p4[row[live]]).sum(1)
-            if pairs and q16 is not None:
-                p16 = at_time(q16, b).cumsum(1)
-                for i, j in pairs:
-                    if row[i] < GAP and row[j] < GAP:
-                        s = p16[row[i] * 4 + row[j]]
-                        k = int((rng.random() * s[-1] > s).sum())
-                        row[i], row[j] = divmod(k, 4)
+            p4 = p4_at(b)[row[live]]
+            row[live] = (rng.random(len(live))[:, None] * p4[:, -1:] > p4).sum(1)
+            if p16_at:
+                both = (row[left] < GAP) & (row[right] < GAP)
+                i, j = left[both], right[both]
+                p16 = p16_at(b)[row[i] * 4 + row[j]]
+                row[i], row[j] = np.divmod((rng.random(len(i))[:, None] * p16[:, -1:] > p16).sum(1), 4)
             if indel:
                 row[rng.random(len(row)) < 1 - np.exp(-indel * b)] = GAP
-            states[c] = row
-            todo.append(c)
-    return np.array([states[k] for k in range(n)])
+            todo.append((c, row, first))
+    return ids, np.array(rows)
 
 
 def random_tree(n: int, mean: float, rng: np.random.Generator) -> list[tuple[int, int, float]]:
     """Random joining of n leaves with exponential branch lengths."""
-    alive, edges = list(range(n)), []
-    for node in range(n, 2 * n - 1):
-        i, j = sorted(rng.choice(len(alive), 2, replace=False))
-        edges += [(node, alive[i], rng.exponential(mean)), (node, alive[j], rng.exponential(mean))]
-        alive = [*(v for k, v in enumerate(alive) if k not in (i, j)), node]
+    alive, edges, size = list(range(n)), [], np.arange(n, 1, -1)
+    first, second, b = rng.integers(0, size), rng.integers(0, size - 1), rng.exponential(mean, (n - 1, 2)).tolist()
+    second += second >= first
+    for node, (i, j) in enumerate(zip(first.tolist(), second.tolist()), n):
+        edges += [(node, alive[i], b[node - n][0]), (node, alive[j], b[node - n][1])]
+        alive[i] = node
+        alive[j] = alive[-1]
+        alive.pop()
     return edges
 
 
@@ -201,10 +228,11 @@ def jukes_cantor(k: int = 4) -> np.ndarray:
     return np.full((k, k), 1 / (k - 1)) - np.eye(k) * (1 + 1 / (k - 1))
 
 
-def simulate(specs: DataFrame, seed: int = 1) -> DataFrame:
+def simulate(specs: DataFrame, seed: int = 1, cells: int = 2_000_000) -> DataFrame:
     """(aln_id, seq_id, aseq) for (aln_id, nseq, alen, mean_branch): alignments on random trees, the outer half of the columns paired inwards.
 
-    Paired columns evolve together between the Watson-Crick and wobble pairs. The same seed gives the same rows.
+    Paired columns evolve together between the Watson-Crick and wobble pairs. The same seed gives the same rows. An alignment of more
+    than ``cells`` residues and gaps is spread by parts of its tree; their number doesn't change the rows.
     """
 
     def f(t: pd.DataFrame) -> pd.DataFrame:
@@ -218,7 +246,13 @@ def simulate(specs: DataFrame, seed: int = 1) -> DataFrame:
         root = rng.integers(0, 4, width).astype(np.uint8)
         for i, j in pairs:
             root[i], root[j] = divmod(int(rng.choice(ok)), 4)
-        x = evolve(root, jukes_cantor(), random_tree(n, r.mean_branch, rng), n, rng, pairs, q16, 0.02) if n > 1 else root[None]
-        return pd.DataFrame({"aln_id": r.aln_id, "seq_id": range(n), "aseq": ["".join("ACGU-"[v] for v in row) for row in x]})
-
-    return specs.groupBy("aln_id").applyInPandas(f, "aln_id string, seq_id long, aseq string")
+        ids, x = [0], root[None]
+        if n > 1:
+            ids, x = evolve(root, jukes_cantor(), random_tree(n, r.mean_branch, rng), n, int(rng.integers(0, 1 << 63)), pairs, q16, 0.02, int(r.part), int(r.parts))
+        return pd.DataFrame({"aln_id": r.aln_id, "seq_id": ids, "aseq": [row.tobytes().decode() for row in np.frombuffer(b"ACGU-", np.uint8)[x]]})
+
+    spark = specs.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)  # few bytes, much work: not to be coalesced
+    need = F.ceil(F.col("nseq").cast("double") * F.col("alen") / cells)
+    d = specs.withColumn("parts", F.greatest(F.least(need, F.col("nseq")), F.lit(1)).cast("long")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return d.repartition(tasks, "aln_id", "part").groupBy("aln_id", "part").applyInPandas(f, "aln_id string, seq_id long, aseq string")

@@ -117,10 +117,10 @@ def potts_scores(spark, sf_dir) -> DataFrame:
 
 
 def simulated(spark, sf_dir) -> DataFrame:
-    """Alignments with the sizes of the declared ones, up to 60 rows of 120 columns."""
+    """Alignments with the sizes of the declared ones, one row or column where none is declared."""
     a = once(table(spark, sf_dir, "alignments"), "aln_id", "nseq", "alen")
-    size = lambda c, top: F.least(F.greatest(F.coalesce(c, F.lit(1)), F.lit(1)), F.lit(top))
-    return M.simulate(a.select("aln_id", size("nseq", 60).alias("nseq"), size("alen", 120).alias("alen"), F.lit(0.2).alias("mean_branch")))
+    size = lambda c: F.greatest(F.coalesce(c, F.lit(1)), F.lit(1)).alias(c)
+    return M.simulate(a.select("aln_id", size("nseq"), size("alen"), F.lit(0.2).alias("mean_branch")))
 
 
 QUERIES = {f.__name__: f for f in (family_ranks, motif_stats, apparent_covariation, clipped_hits, score_histogram, length_regression, structure_comparison, fasta_again, stockholm_again, tree_changes, tree_null, distinct_rows, identity_clusters, joint_substitutions, potts_scores, simulated)}

@@ -100,3 +100,19 @@ def test_simulated_pairs_covary(spark):
     ok = {"AU", "UA", "GC", "CG", "GU", "UG"}
     both = [v[0] + v[15] for v in rows.values() if "-" not in v[0] + v[15]]
     assert all(p in ok for p in both)
+
+
+def test_simulated_sizes_are_the_declared_ones(spark, tmp_path):
+    from strandlake.plans.reports import simulated
+
+    spark.createDataFrame([("a", 150, 300), ("b", None, 7), ("c", 61, 121)], "aln_id string, nseq int, alen int").write.parquet(str(tmp_path / "alignments.parquet"))
+    rows = simulated(spark, str(tmp_path)).collect()
+    for k, n, width in (("a", 150, 300), ("b", 1, 7), ("c", 61, 121)):
+        own = [r for r in rows if r.aln_id == k]
+        assert sorted(r.seq_id for r in own) == list(range(n)) and {len(r.aseq) for r in own} == {width}
+
+
+def test_parts_of_a_simulation_are_the_whole(spark):
+    d = spark.createDataFrame([("a", 41, 20, 0.3), ("b", 3, 200, 0.1)], "aln_id string, nseq int, alen int, mean_branch double")
+    whole = sorted(M.simulate(d).collect())
+    assert sorted(M.simulate(d, cells=100).collect()) == whole and len(whole) == 44 and len({r.aseq for r in whole}) > 20
