@@ -166,8 +166,8 @@ def _scan(items, run: int, share: float, stretch: float):
     return f
 
 
-def _emit(masks: tuple[str, ...]):
-    """(id, text) -> (id, seed, n_words): all different seeds of a text."""
+def _emit(masks: tuple[str, ...], singles: bool = False):
+    """(id, text) -> (id, seed, n_words): all different seeds of a text; of one too short for a mask, or with ``singles`` of every one, its single words too."""
 
     def f(batches):
         hasher = Hasher()
@@ -176,7 +176,7 @@ def _emit(masks: tuple[str, ...]):
                 h = hasher(words(text))
                 if not len(h):
                     continue
-                s = np.unique(np.concatenate([*seeds(h, masks), *([h] if len(h) < max(map(len, masks)) else [])]))
+                s = np.unique(np.concatenate([*seeds(h, masks), *([h] if singles or len(h) < max(map(len, masks)) else [])]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i, np.int64)), pa.array(s.view(np.int64)), pa.array(np.full(len(s), len(h), np.int32))], names=["id", "seed", "n"])
 
     return f
@@ -208,8 +208,10 @@ def leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "t
     if size <= broadcast_chars:
         held = spark.sparkContext.broadcast(Items([(r.iid, r.p) for r in q.collect()], masks))
         return d.mapInArrow(_scan(held, run, share, stretch), out).distinct()
-    mine = d.mapInArrow(_emit(masks), "id long, seed long, n int").select(F.col("id").alias("doc"), "seed")
-    test = q.mapInArrow(_emit(masks), "id long, seed long, n int").select(F.col("id").alias("item"), "seed", F.when(F.col("n") < 13, 1).otherwise(LEAST_HITS).alias("least"))
+    test = q.mapInArrow(_emit(masks), "id long, seed long, n int")
+    short = not test.where(F.col("n") < max(map(len, masks))).isEmpty()  # such items match by single words, as in Items
+    mine = d.mapInArrow(_emit(masks, short), "id long, seed long, n int").select(F.col("id").alias("doc"), "seed")
+    test = test.select(F.col("id").alias("item"), "seed", F.when(F.col("n") < 13, 1).otherwise(LEAST_HITS).alias("least"))
     near = mine.join(test, "seed").groupBy("doc", "item").agg(F.countDistinct("seed").alias("c"), F.min("least").alias("least")).where("c >= least").select("doc", "item")
     both = near.join(q, F.col("item") == F.col("iid")).join(d, F.col("doc") == F.col("id")).select("doc", "item", "p", "t")
     return both.mapInArrow(_check(run, share, stretch), out).distinct()

@@ -80,3 +80,11 @@ def test_empty(spark):
     its, docs = corpus()
     d, i = spark.createDataFrame(docs, DOC), spark.createDataFrame(its, ITEM)
     assert L.leaks(d.limit(0), i).collect() == [] and L.leaks(d, i.limit(0)).collect() == []
+
+
+def test_short_items_are_found_on_both_paths(spark):
+    filler = " ".join(f"w{k}" for k in range(40))
+    docs = spark.createDataFrame([(1, f"{filler} red fox ran {filler}"), (2, f"{filler} one two new three four five six {filler}"), (3, filler)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "red fox ran"), (2, "one two three other five six")], "item_id long, passage string")
+    for chars in (20_000_000, 0):
+        assert {tuple(r) for r in L.leaks(docs, items, broadcast_chars=chars).collect()} == {(1, 1), (2, 2)}
