@@ -3,7 +3,7 @@ import random
 import pytest
 
 from strandlake.llm import leak as L
-from strandlake.llm.text import plain, sentences, words
+from strandlake.llm.text import plain, sentences, word_hashes, words
 
 DOC, ITEM = "doc_id long, text string, item_id long", "item_id long, passage string, doc_id long"
 
@@ -88,3 +88,59 @@ def test_short_items_are_found_on_both_paths(spark):
     items = spark.createDataFrame([(1, "red fox ran"), (2, "one two three other five six")], "item_id long, passage string")
     for chars in (20_000_000, 0):
         assert {tuple(r) for r in L.leaks(docs, items, broadcast_chars=chars).collect()} == {(1, 1), (2, 2)}
+
+
+def test_hashed_words_are_the_words():
+    texts = [None, "", " \ufeff", "Straße ＡＢＣ a_b x1 2 <b>bo</b>ld Ñandú—“quoted” 100% \u00e9\u0301", "a" * 5000 + " b", "the the THE", "12 7 x"]
+    h, off = word_hashes(texts)
+    seen = {}
+    for k, t in enumerate(texts):
+        ws, got = words(t), h[off[k] : off[k + 1]].tolist()
+        assert len(ws) == len(got)
+        for w, x in zip(ws, got):
+            assert seen.setdefault(w, x) == x
+    assert len(set(seen.values())) == len(seen)
+    alike, off = word_hashes(["12 7 x 7"], numbers_alike=True)
+    assert alike[0] == alike[1] == alike[3] != alike[2]
+
+
+def test_bound_of_pair_hits():
+    """No pattern of kept words and insertions has fewer hit places than the bound says."""
+    rnd = random.Random(3)
+    for _ in range(4000):
+        n = rnd.randint(1, 40)
+        m = -(-n * 3 // 4)
+        p = sorted(rnd.sample(range(n), m))
+        width = int(n * 1.5)
+        t = sorted(rnd.sample(range(width), m)) if width >= m else []
+        hit = sum(b - a <= 2 and d - c <= 2 for a, b, c, d in zip(p, p[1:], t, t[1:]))
+        assert hit >= L.least_pairs(n)
+    assert L.least_pairs(60) == 14 and L.least_pairs(4) == L.least_pairs(1) == 0
+
+
+def hard_cases():
+    """Short items, repeated words, every fourth word dropped, a foreign word after every third, random losses and insertions."""
+    rnd = random.Random(9)
+    vocab = [f"v{k}" for k in range(300)]
+    fill = lambda n: [f"f{rnd.randrange(2000)}" for _ in range(n)]
+    items, docs = [], []
+    for i, n in enumerate([1, 2, 3, 4, 5, 6, 7, 12, 13, 16, 24, 40, 61, 90]):
+        for rep in range(3):
+            p = [rnd.choice(vocab[: 300 if rep else 6]) for _ in range(n)]
+            k = 10 * i + rep
+            items.append((k, " ".join(p)))
+            docs += [(100 * k, fill(30) + [w for j, w in enumerate(p) if j % 4 != 3] + fill(300)), (100 * k + 1, fill(5) + [x for j, w in enumerate(p) for x in ([w, "zz"] if j % 3 == 2 else [w])] + fill(5))]
+            docs += [(100 * k + 2, fill(40) + p[: max(1, n // 3)] + fill(3) + p[n // 3 : n // 3 + 13] + fill(200))]
+            for r in range(4):
+                keep = [w for w in p if rnd.random() > 0.22]
+                docs.append((100 * k + 3 + r, fill(20) + [x for w in keep for x in ([w] + ["qq"] * (rnd.random() < 0.45 * (r % 2)))] + fill(60)))
+    return items, [(d, " ".join(t)) for d, t in docs]
+
+
+@pytest.mark.parametrize("limit", [10**9, 0])
+def test_hard_cases_equal_brute_force(spark, limit):
+    items, docs = hard_cases()
+    got = {tuple(r) for r in L.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string"), broadcast_chars=limit).collect()}
+    split = [(d, t.split()) for d, t in docs]
+    want = {(d, i) for i, p in items for d, t in split if L.holds(p.split(), t)}
+    assert got == want and len(want) > 150
