@@ -74,12 +74,14 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents and mean share of sentences of each subject in the corpus."""
+    """Documents of each subject, their part of all documents, and the mean share of sentences in those that have it."""
     from strandlake.llm.subjects import classify, train_on
 
     docs = table(spark, sf_dir, "documents")
     model = train_on(docs, table(spark, sf_dir, "doc_labels"), table(spark, sf_dir, "subject_areas"))
-    return classify(docs, model).groupBy("subject").agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.avg("share"), 4).alias("mean_share"))
+    n = docs.agg(F.countDistinct("doc_id").alias("n_all"))
+    got = classify(docs, model).groupBy("subject").agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.avg("share"), 4).alias("mean_share_where_assigned"))
+    return got.join(F.broadcast(n)).select("subject", "n_docs", F.round(F.col("n_docs") / F.col("n_all"), 6).alias("part_of_docs"), "mean_share_where_assigned")  # n is one row
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_chosen": p4_chosen, "p6_packed": p6_packed, "p6_certificates": p6_certificates, "p7_found": p7_found, "p8_found": p8_found, "p8_composition": p8_composition}

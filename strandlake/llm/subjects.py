@@ -12,12 +12,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from strandlake.llm.text import sentences, words
+from strandlake.llm.text import sentences, word_hashes
 
 BITS = 17
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -27,27 +26,12 @@ class Features:
     """Hashed word uni- and bigrams of sentences; numbers fold to one token."""
 
     def __init__(self, bits: int = BITS):
-        self.shift, self.seen = np.uint64(64 - bits), {}
-
-    def _word(self, w: str) -> int:
-        return xxhash.xxh64_intdigest("0" if w.isdigit() else w)
+        self.shift = np.uint64(64 - bits)
 
     def __call__(self, sents: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Feature numbers of all sentences one after the other, and the offset of each sentence."""
-        if len(self.seen) > 1_000_000:
-            self.seen.clear()
-        seen, flat, n = self.seen, [], []
-        for s in sents:
-            ws = words(s)
-            n.append(len(ws))
-            for w in ws:
-                h = seen.get(w)
-                if h is None:
-                    h = seen[w] = self._word(w)
-                flat.append(h)
-        h = np.array(flat, np.uint64)
-        n = np.array(n, np.int64)
-        start = np.concatenate([[0], np.cumsum(n)])
+        h, start = word_hashes(sents, numbers_alike=True)
+        n = np.diff(start)
         uni = (h * _B) >> self.shift
         pair = np.zeros(len(h), np.uint64)
         if len(h) > 1:
@@ -148,22 +132,26 @@ def train(docs: list[tuple[list[str], set[str]]], subjects: list[str], bits: int
     return Model(subjects, w, b, cut, shares)
 
 
-def weak_labels(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> DataFrame:
-    """(doc_id, subject): labels by hand, and subjects named in a document's address path or section metadata.
+def weak_labels(docs: DataFrame, labels: DataFrame, subjects: DataFrame, least_docs: int = 5, least_share: float = 0.8) -> DataFrame:
+    """(doc_id, subject): labels by hand, and subjects that a document's address path or section metadata name or imply.
 
-    Labels are trimmed and lowered, unknown and null ones dropped. A path or title names a subject if a whole word of it is the subject.
+    Labels are trimmed and lowered, unknown and null ones dropped. A path or title names a subject if a whole word of it is the subject; it
+    implies one if a word of it stands on at least ``least_docs`` documents labelled by hand, of which at least ``least_share`` have that subject.
     """
     known = subjects.select(F.lower(F.trim("subject")).alias("subject")).where("subject <> ''").distinct()
-    hand = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.trim("subject")).alias("subject")).join(known, "subject", "left_semi").select("doc_id", "subject")
-    word = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.split(F.lower(F.concat_ws(" ", "source", "title", "aln_name")), "[^a-z]+")).alias("subject"))
-    named = word.join(known, "subject", "left_semi").select("doc_id", "subject")
-    return hand.unionByName(named).where("doc_id IS NOT NULL").distinct()
+    hand = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.trim("subject")).alias("subject")).join(known, "subject", "left_semi").select("doc_id", "subject").distinct()
+    word = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array_distinct(F.split(F.lower(F.concat_ws(" ", "source", "title", "aln_name")), "[^a-z]+"))).alias("word")).where("word <> ''")
+    seen = word.join(hand.select("doc_id").distinct(), "doc_id", "left_semi").distinct()
+    all_ = seen.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_docs)
+    implied = seen.join(hand, "doc_id").groupBy("word", "subject").agg(F.count(F.lit(1)).alias("k")).join(all_, "word").where(F.col("k") >= least_share * F.col("n")).select("word", "subject")
+    rules = known.withColumn("word", F.col("subject")).select("word", "subject").unionByName(implied).distinct()
+    return hand.unionByName(word.join(rules, "word").select("doc_id", "subject")).where("doc_id IS NOT NULL").distinct()
 
 
 def train_on(docs: DataFrame, labels: DataFrame, subjects: DataFrame, per_language: int = 1500, max_sentences: int = 60) -> Model:
     """A model from at most ``per_language`` labelled documents of each language spelling's first two letters.
 
-    The documents are those whose id hashes lowest, so the sample is the same on every run, and at most 8 languages times ``per_language`` come to the driver, in sentences,
+    The documents are those whose id hashes lowest, so the sample is the same on every run, and at most 8 languages times ``per_language`` come to the driver, in whole sentences,
     of each document ``max_sentences`` at even distances. Only training is bounded; every document is classified whole.
     """
     names = sorted({r.s for r in subjects.select(F.lower(F.trim("subject")).alias("s")).where("s <> ''").distinct().limit(1001).collect()})
@@ -186,7 +174,7 @@ def train_on(docs: DataFrame, labels: DataFrame, subjects: DataFrame, per_langua
                 s = sentences(t)
                 if len(s) > max_sentences:
                     s = [s[i * len(s) // max_sentences] for i in range(max_sentences)]
-                out.append([x[:2000] for x in s])
+                out.append(s)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string())), b.column(1)], names=["s", "y"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").join(ids, "doc_id").select("text", "subjects").mapInArrow(cut, "s array<string>, y array<string>")

@@ -48,20 +48,22 @@ def _drop_repeats(batches):
         yield b.filter(keep)
 
 
-def cluster(items: DataFrame, group: str, item: str, first: F.Column, second: F.Column, row_group_bytes: int = 1 << 20) -> str:
+def cluster(items: DataFrame, group: str, item: str, first: F.Column, second: F.Column, row_group_rows: int = 2048) -> str:
     """Write the clustered layout and return its folder.
 
     ``first`` and ``second`` are rank expressions, smaller better, compared in this order and then
     by ``item``; a null second rank comes last. Items with a null group, or a null or NaN first rank, take no part.
-    Range partitioning over the whole order splits a hot group at any place.
+    Range partitioning over the whole order splits a hot group at any place; as many files as the session has shuffle partitions, in
+    row groups of ``row_group_rows`` items, so that what lies beyond a group's N-th can be skipped.
     """
     path = new_path(items.sparkSession, "clustered")
     # 0.0 is added so that -0.0 and 0.0 sort and compare as one value
     rows = items.select(F.col(group).alias("g"), (first + F.lit(0.0)).cast("double").alias("k1"), F.nanvl((second + F.lit(0.0)).cast("double"), F.lit(None).cast("double")).alias("k2"), F.col(item).cast("long").alias("id"))
     rows = rows.where(F.col("g").isNotNull() & F.col("k1").isNotNull() & ~F.isnan("k1") & F.col("id").isNotNull())
     order = [F.col("g"), F.col("k1"), F.col("k2").asc_nulls_last(), F.col("id")]
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_drop_repeats, "g string, k1 double, k2 double, id long")
-    rows.write.option("parquet.block.size", row_group_bytes).option("parquet.page.size.row.check.min", 1000).option("compression", "zstd").parquet(path)
+    files = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartitionByRange(files, *order).sortWithinPartitions(*order).mapInArrow(_drop_repeats, "g string, k1 double, k2 double, id long")
+    rows.write.option("parquet.block.row.count.limit", row_group_rows).option("compression", "zstd").parquet(path)
     return path
 
 
@@ -82,41 +84,51 @@ def _footers(batches):
 
 
 def _reader(n: int):
-    def read(cat: pa.Table) -> pa.Table:
-        rows = sorted(cat.to_pylist(), key=lambda r: (r["kmin"] is not None, r["kmin"] or 0.0, r["rg"]))
-        pf, bound, parts = _open_parquet(rows[0]["file"]), {}, []
-        for r in rows:
-            alone = r["gmin"] is not None and r["gmin"] == r["gmax"]
-            if alone and r["kmin"] is not None and r["gmin"] in bound and r["kmin"] > bound[r["gmin"]]:
-                continue  # strictly beyond the N-th of the only group in it
-            t = pf.read_row_group(r["rg"]).combine_chunks()
-            g = t.column("g").combine_chunks()
-            if not len(g):
-                continue
-            starts = pc.indices_nonzero(pc.not_equal(g.slice(1), g.slice(0, len(g) - 1))).to_numpy() + 1
-            starts = np.concatenate([[0], starts, [len(g)]]).astype(np.int64)
-            lens = np.diff(starts)
-            rank = np.arange(len(g)) - np.repeat(starts[:-1], lens)
-            if alone and len(g) >= n:
-                kth = t.column("k1")[n - 1].as_py()
-                bound[r["gmin"]] = min(kth, bound.get(r["gmin"], kth))
-            parts.append(t.filter(pa.array(rank < n)).select(["g", "id", "k1", "k2"]))
-        return pa.concat_tables(parts) if parts else pa.schema([("g", pa.string()), ("id", pa.int64()), ("k1", pa.float64()), ("k2", pa.float64())]).empty_table()
+    """Catalogue rows, all of a file together and best first -> the first ``n`` of every group's run in each row group, one row group held at a time."""
+
+    def read(batches):
+        uri, pf, bound = None, None, {}
+        for b in batches:
+            for r in b.to_pylist():
+                if r["file"] != uri:
+                    uri, pf, bound = r["file"], _open_parquet(r["file"]), {}
+                alone = r["gmin"] is not None and r["gmin"] == r["gmax"]
+                if alone and r["kmin"] is not None and r["gmin"] in bound and r["kmin"] > bound[r["gmin"]]:
+                    continue  # strictly beyond the N-th of the only group in it
+                t = pf.read_row_group(r["rg"], columns=["g", "k1", "k2", "id"])
+                g = t.column("g").combine_chunks()
+                if not len(g):
+                    continue
+                starts = pc.indices_nonzero(pc.not_equal(g.slice(1), g.slice(0, len(g) - 1))).to_numpy() + 1
+                starts = np.concatenate([[0], starts, [len(g)]]).astype(np.int64)
+                lens = np.diff(starts)
+                rank = np.arange(len(g)) - np.repeat(starts[:-1], lens)
+                if alone and len(g) >= n:
+                    kth = t.column("k1")[n - 1].as_py()
+                    bound[r["gmin"]] = min(kth, bound.get(r["gmin"], kth))
+                yield from t.filter(pa.array(rank < n)).select(["g", "id", "k1", "k2"]).to_batches()
 
     return read
 
 
-def top_n(spark, path: str, n: int) -> DataFrame:
-    """(g, id, k1, k2, rank) of the best ``n`` of each group in a clustered layout; all if fewer."""
+def catalogue(spark, path: str, n: int) -> DataFrame:
+    """(file, rg, gmin, gmax, kmin, kmax, n, wanted): the row groups of a clustered layout, from footers alone, and which can hold one of the best ``n``."""
     files = [(f,) for f, _ in list_files(spark, path)]
-    if not files or n < 1:
-        return spark.createDataFrame([], "g string, id long, k1 double, k2 double, rank int")
+    if not files:
+        return spark.createDataFrame([], _CATALOG + ", wanted boolean")
     cat = spark.createDataFrame(files, "file string").repartition(max(1, min(len(files), 2 * spark.sparkContext.defaultParallelism))).mapInArrow(_footers, _CATALOG)
     alone = F.col("gmin") == F.col("gmax")
     # at least n different items of the group are as good as the row group's worst
     bounds = cat.where(alone & (F.col("n") >= n) & F.col("kmax").isNotNull()).groupBy(F.col("gmin").alias("bg")).agg(F.min("kmax").alias("bound"))
-    wanted = cat.join(bounds, alone & (F.col("gmin") == F.col("bg")), "left").where("bound IS NULL OR kmin IS NULL OR kmin <= bound").select(*cat.columns)
-    found = wanted.groupBy("file").applyInArrow(_reader(n), _OUT)
+    return cat.join(bounds, alone & (F.col("gmin") == F.col("bg")), "left").select(*cat.columns, F.expr("bound IS NULL OR kmin IS NULL OR kmin <= bound").alias("wanted"))
+
+
+def top_n(spark, path: str, n: int) -> DataFrame:
+    """(g, id, k1, k2, rank) of the best ``n`` of each group in a clustered layout; all if fewer."""
+    if n < 1:
+        return spark.createDataFrame([], _OUT + ", rank int")
+    wanted = catalogue(spark, path, n).where("wanted").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file")
+    found = wanted.sortWithinPartitions("file", F.col("kmin").asc_nulls_first(), "rg").mapInArrow(_reader(n), _OUT)
     w = W.partitionBy("g").orderBy("k1", F.col("k2").asc_nulls_last(), "id")
     # a run may go on in a neighbouring row group or file: at most n rows of each meet here
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)

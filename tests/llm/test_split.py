@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from strandlake.llm.split import pack, parse, rejoin, split_rows
+from strandlake.llm.split import merge, pack, parse, rejoin, split_rows
 
 
 def brute(a, limit=400, overlap=40, least=200):
@@ -40,9 +40,34 @@ def test_pack_of_small_limits(a):
     assert rejoin(a, pack(a, 20, 4, 8)) == a
 
 
+def shape(n):
+    return (n.start, n.end, [shape(k) for k in n.kids]) if n.kids else (n.start, n.end)
+
+
 def test_tree_levels():
-    a = "AAA" + "-" * 3 + "CC" + "." * 15 + "GG" + "~~~" + "U"
-    assert parse(a) == [(23, [6, 23]), (29, [28, 29])]
+    a = "AAA" + "-" * 3 + "CC" + "." * 15 + "GG" + "~~~" + "U" + "-" * 50 + "A"
+    assert shape(parse(a)) == (0, 80, [(0, 79, [(0, 23, [(0, 6), (6, 23)]), (23, 79, [(23, 28), (28, 79)])]), (79, 80)])
+
+
+def test_merging_is_bottom_up():
+    a = "".join(("A" * 6 + "---") for _ in range(8)) + "A"
+    tree = merge(parse(a, (3,)), 20)
+    assert shape(tree) == (0, 73, [(0, 18, [(0, 9), (9, 18)]), (18, 36, [(18, 27), (27, 36)]), (36, 54, [(36, 45), (45, 54)]), (54, 73, [(54, 72, [(54, 63), (63, 72)]), (72, 73)])]) and tree.kids[0].merged
+
+
+def test_the_tree_decides_where_levels_count():
+    """A chapter's end comes before a later end of a segment; by the plain rule the later one wins."""
+    a = "A" * 200 + "-" * 60 + "C" * 60 + "---" + "G" * 300
+    assert pack(a)[0] == (1, 323) and pack(a, by_level=True)[0] == (1, 260)
+    assert rejoin(a, pack(a, by_level=True)) == a
+    rnd = random.Random(2)
+    differ = 0
+    for _ in range(30):
+        x = aligned(rnd, 3000)
+        got = pack(x, by_level=True)
+        assert rejoin(x, got) == x and all(e - s < 400 for s, e in got) and all(e2 - 39 == s for (_, e2), (s, _) in zip(got, got[1:]))
+        differ += got != pack(x)
+    assert differ > 10
 
 
 def test_rows(spark):

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from strandlake.llm.topn import cluster, top_hits, top_n
+from strandlake.llm.topn import catalogue, cluster, top_hits, top_n
 
 SCHEMA = "queryname string, hit_id long, e double, sc double, rank int, g string"
 
@@ -39,7 +39,10 @@ def test_matches_brute_force(spark, seed, size, n):
 def test_many_row_groups_are_skipped(spark):
     rows = [("hot", h, float(h % 977) / 1000, 1.0, 1, "x") for h in range(40000)]
     d = spark.createDataFrame(rows, SCHEMA)
-    path = cluster(d, "queryname", "hit_id", d.e, -d.sc, row_group_bytes=1 << 14)
+    path = cluster(d, "queryname", "hit_id", d.e, -d.sc, row_group_rows=512)
+    c = catalogue(spark, path, 5)
+    skipped = c.where("NOT wanted").count()
+    assert c.count() >= 78 and skipped >= 0.8 * c.count()
     got = {r.id for r in top_n(spark, path, 5).collect()}
     assert got == {h for _, h in brute(rows, 5)}
 
