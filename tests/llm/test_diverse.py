@@ -75,3 +75,32 @@ def test_greedy_maximises_the_determinant():
     for m in range(1, 5):
         best = max((j for j in range(9) if j not in got[: m - 1]), key=lambda j: np.linalg.det(k[np.ix_([*got[: m - 1], j], [*got[: m - 1], j])]))
         assert best == got[m - 1]
+
+
+def test_distances_keep_no_alike_rows_apart():
+    rnd = np.random.default_rng(8)
+    x = rnd.integers(0, 5, (40, 60)).astype(np.uint8)
+    x[20:] = np.where(rnd.random((20, 60)) < 0.2, rnd.integers(0, 5, (20, 60)), x[:20])
+    n = (x > 0).sum(1)
+    far = D.distances(x, x)
+    same = D.matches(x, x)
+    for t in (0.0, 0.3, 0.6, 0.9):
+        alike = same / np.minimum(n[:, None], n) >= t
+        assert (far[alike] <= D.most_apart(n[:, None], n, t)[alike]).all()
+    assert (far[:, None, :] <= far[:, :, None] + far[None]).all()  # the triangle inequality
+
+
+def test_large_alignment_in_cells(spark):
+    rnd = random.Random(4)
+    base = ["".join(rnd.choice("ACGU") for _ in range(80)) for _ in range(6)]
+    rows = []
+    for k in range(300):
+        b = list(base[k % 6])
+        for _ in range(rnd.randrange(14)):
+            b[rnd.randrange(80)] = rnd.choice("ACGU-")
+        rows.append((k, "A", "".join(b), 1.0))
+    s = spark.createDataFrame(rows, "seq_id long, aln_id string, aseq string, wgt double")
+    c = spark.createDataFrame([(1, "A", 0.85, 5)], "cfg_id long, aln_id string, idthresh double, n_want int")
+    want = {(1, i, j) for i, j in itertools.combinations(range(300), 2) if ident(rows[i][2], rows[j][2]) >= 0.85}
+    got = [tuple(r) for r in D.similar_pairs(s, c, 24).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 1000
