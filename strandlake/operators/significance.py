@@ -60,28 +60,55 @@ def fit_exponential(hist: DataFrame, tails: DataFrame, frame: DataFrame) -> Data
 
 
 def survival(hist: DataFrame, fit: DataFrame, frame: DataFrame) -> DataFrame:
-    """(aln_id, bin, lo, above, nc, surv, survfit): observed and fitted share of scores above each bin's lower end."""
-    c = cumulated(hist).join(frame, "aln_id").withColumn("lo", F.col("bmin") + F.col("bin") * F.col("w"))
+    """(aln_id, bin, hi, above, nc, surv, survfit): observed share of scores in each bin and above, fitted share beyond the bin's upper end."""
+    c = cumulated(hist).join(frame, "aln_id").withColumn("lo", F.col("bmin") + F.col("bin") * F.col("w")).withColumn("hi", F.col("bmin") + (F.col("bin") + 1) * F.col("w"))
     f = fit.select("aln_id", "phi", "mass", "lam")
-    return c.join(f, "aln_id").select("aln_id", "bin", "lo", "above", "nc", (F.col("above") / F.col("nc")).alias("surv"), F.when(F.col("lo") >= F.col("phi"), F.col("mass") * F.exp(-F.col("lam") * (F.col("lo") - F.col("phi")))).alias("survfit"))
+    return c.join(f, "aln_id").select("aln_id", "bin", "hi", "above", "nc", (F.col("above") / F.col("nc")).alias("surv"), F.when(F.col("lo") >= F.col("phi"), F.col("mass") * F.exp(-F.col("lam") * (F.col("hi") - F.col("phi")))).alias("survfit"))
 
 
-def p_values(scores: DataFrame, hist: DataFrame, fit: DataFrame, frame: DataFrame) -> DataFrame:
-    """scores with ``pval``: from the fitted tail at or beyond phi, else the share of null scores in the score's bin or above.
+def _table_bins(hist: DataFrame, hpts: int) -> DataFrame:
+    """(aln_id, imin, imax, nb): filled bins and the bins allotted, which grow with the highest."""
+    g = hist.groupBy("aln_id").agg(F.min("bin").alias("imin"), F.max("bin").alias("imax"))
+    return g.withColumn("nb", F.greatest(F.lit(hpts), F.col("imax") + 1))
 
-    The step from a bin to the counts above it is an as-of join; it becomes a running maximum over the union of both
-    sides, sorted once, so no score meets every bin.
+
+def p_values(scores: DataFrame, hist: DataFrame, fit: DataFrame, frame: DataFrame, hpts: int = 100) -> DataFrame:
+    """scores with ``pval``, by bins.
+
+    At or beyond phi, where a tail was fitted, it is the fitted share beyond the upper end of the next bin, and from twice the table's bins on that of
+    its last bin. Else it is the share of null scores in the score's bin or above; in the two highest filled bins and beyond that is one
+    null score, so never 0: a score beyond a null that has one value only gets 1/nc. The step from a bin to the counts above it is an as-of join; it becomes
+    a running maximum over the union of both sides, sorted once, so no score meets every bin.
     """
     c = cumulated(hist).select("aln_id", "bin", F.col("above"), F.lit(None).cast("int").alias("i"), F.lit(None).cast("int").alias("j"), F.lit(None).cast("double").alias("score"))
     s = scores.join(frame, "aln_id").select("aln_id", bin_of(F.col("score"), F.col("bmin"), F.col("w")).alias("bin"), F.lit(None).cast("long").alias("above"), "i", "j", "score")
     down = W.partitionBy("aln_id").orderBy(F.desc("bin"), F.col("i").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
-    got = c.unionByName(s).withColumn("a", F.coalesce(F.max("above").over(down), F.lit(0))).where("score IS NOT NULL").join(fit, "aln_id")
-    tail_p = F.col("mass") * F.exp(-F.col("lam") * (F.col("score") - F.col("phi")))
-    return got.select("aln_id", "i", "j", "score", F.when((F.col("score") >= F.col("phi")) & F.col("lam").isNotNull(), tail_p).otherwise(F.col("a") / F.col("nc")).alias("pval"))
+    got = c.unionByName(s).withColumn("a", F.max("above").over(down)).where("score IS NOT NULL")
+    got = got.join(fit, "aln_id").join(frame, "aln_id").join(_table_bins(hist, hpts), "aln_id")
+    end = F.least(F.col("bin") + 2, 2 * F.col("nb"))
+    tail_p = F.col("mass") * F.exp(-F.col("lam") * (F.col("bmin") + end * F.col("w") - F.col("phi")))
+    fitted = F.col("lam").isNotNull() & ((F.col("score") >= F.col("phi")) | (F.col("bin") >= 2 * F.col("nb") - 1))
+    counted = F.when(F.col("bin") >= F.col("imax") - 1, 1).otherwise(F.greatest(F.coalesce("a", F.lit(1)), F.lit(1))) / F.col("nc")
+    return got.select("aln_id", "i", "j", "score", F.when(fitted, tail_p).otherwise(counted).alias("pval"))
+
+
+def score_at(hist: DataFrame, fit: DataFrame, frame: DataFrame, tests: int, threshold: float = 0.05, hpts: int = 100, least_obs: int = 10) -> DataFrame:
+    """(aln_id, score): where the E-value of ``tests`` tests comes down to the threshold.
+
+    From the top of the fitted table, with ``least_obs`` observations at least: the lower end of the first bin whose fitted E reaches it. Else from the top of the
+    counted one, the upper end of the first bin whose counted E does, or of the bin below the lowest.
+    """
+    d = fit.join(frame, "aln_id").join(_table_bins(hist, hpts), "aln_id")
+    at = F.sequence(F.round((F.col("phi") - F.col("bmin")) / F.col("w")).cast("int"), 2 * F.col("nb") - 1)
+    ok = F.filter(at, lambda b: F.col("mass") * F.exp(-F.col("lam") * (F.col("bmin") + (b + 1) * F.col("w") - F.col("phi"))) * tests >= threshold)
+    d = d.withColumn("fit_bin", F.when((F.col("nc") >= least_obs) & F.col("lam").isNotNull(), F.array_max(ok)))
+    seen = cumulated(hist).where(F.col("above") * tests >= threshold * F.col("nc")).groupBy("aln_id").agg(F.max("bin").alias("seen_bin"))
+    d = d.join(seen, "aln_id", "left")
+    return d.select("aln_id", F.when(F.col("fit_bin").isNotNull(), F.col("bmin") + F.col("fit_bin") * F.col("w")).otherwise(F.col("bmin") + (F.coalesce("seen_bin", F.col("imin") - 1) + 1) * F.col("w")).alias("score"))
 
 
-def e_values(pv: DataFrame, contacts: DataFrame, exp_bp: int = 0) -> DataFrame:
-    """pv with ``is_bp`` and ``evalue``: base pairs are one set of tests, all other pairs another.
+def e_values(pv: DataFrame, contacts: DataFrame, exp_bp: int = 0, two_sets: bool = True) -> DataFrame:
+    """pv with ``is_bp`` and ``evalue``: base pairs are one set of tests, all other pairs another; without ``two_sets`` all pairs are one.
 
     With ``exp_bp`` the first so many hits outside the base pairs, in order of (i, j), count against exp_bp tests only;
     hits are judged by the full set first.
@@ -89,6 +116,8 @@ def e_values(pv: DataFrame, contacts: DataFrame, exp_bp: int = 0) -> DataFrame:
     d = pv.join(contacts.select("aln_id", "i", "j").distinct().withColumn("is_bp", F.lit(True)), ["aln_id", "i", "j"], "left").withColumn("is_bp", F.coalesce("is_bp", F.lit(False)))
     n = d.groupBy("aln_id").agg(F.sum(F.col("is_bp").cast("long")).alias("nb"), F.count(F.lit(1)).alias("nall"))
     d = d.join(n, "aln_id")
+    if not two_sets:
+        return d.withColumn("evalue", F.col("pval") * F.col("nall")).drop("nb", "nall")
     e = F.when(F.col("is_bp"), F.col("pval") * F.col("nb")).otherwise(F.col("pval") * (F.col("nall") - F.col("nb")))
     if exp_bp:
         w = W.partitionBy("aln_id").orderBy("i", "j").rowsBetween(W.unboundedPreceding, -1)
@@ -97,6 +126,32 @@ def e_values(pv: DataFrame, contacts: DataFrame, exp_bp: int = 0) -> DataFrame:
     return d.withColumn("evalue", e).drop("nb", "nall")
 
 
+# Codes of pair types. Below STACKED are base pairs, WWC the canonical kind; below NONE are contacts.
+WWC, STACKED, NONE = 0, 12, 14
+
+
+def pair_mark(bptype: Column, compatible: Column) -> Column:
+    """`*` canonical base pair, `**` another, `c~` a contact compatible with the structure, `c` one that isn't, `~` compatible only, blank."""
+    return F.when(bptype == WWC, "*").when(bptype < STACKED, "**").when((bptype < NONE) & compatible, "c~").when(bptype < NONE, "c").when(compatible, "~").otherwise(" ")
+
+
+def null_count(nseq: Column, alen: Column) -> Column:
+    """Null replicates of an alignment: 20, 50 below 10**4 cells, 100 below 10**3."""
+    cells = nseq.cast("long") * alen
+    return F.when(cells < 1000, 100).when(cells < 10_000, 50).otherwise(20)
+
+
+def fit_gamma(hist: DataFrame, tails: DataFrame, frame: DataFrame) -> DataFrame:
+    """(aln_id, phi, mass, mu, lam, tau, nc): a gamma tail from phi on by the moments of the binned scores beyond it.
+
+    mu is phi, the bins' middles are what is averaged; null lam and tau where the tail has no spread.
+    """
+    d = hist.join(tails, "aln_id").join(frame, "aln_id").where("bin >= phi_bin").withColumn("x", (F.col("bin") - F.col("phi_bin") + 0.5) * F.col("w"))
+    g = d.groupBy("aln_id").agg(F.max(F.col("bmin") + F.col("phi_bin") * F.col("w")).alias("phi"), F.max("mass").alias("mass"), F.max("nc").alias("nc"), (F.sum(F.col("obs") * F.col("x")) / F.sum("obs")).alias("m"), (F.sum(F.col("obs") * F.col("x") ** 2) / F.sum("obs")).alias("q"))
+    v = F.col("q") - F.col("m") ** 2
+    return g.select("aln_id", "phi", "mass", F.col("phi").alias("mu"), F.when(v > 1e-12, F.col("m") / v).alias("lam"), F.when(v > 1e-12, F.col("m") ** 2 / v).alias("tau"), "nc")
+
+
 def hits(ev: DataFrame, threshold: float = 0.05) -> DataFrame:
     """Pairs with an E-value strictly below the threshold; all of them for a threshold over 1000."""
     return ev if threshold > 1000 else ev.where(F.col("evalue") < threshold)
@@ -138,6 +193,8 @@ def z_scores(scores: DataFrame, contacts: DataFrame) -> DataFrame:
 
     Sums over a column less the pair itself give mean and spread, so nothing is paired again. Null with fewer than two others or no spread.
     """
+    mid = scores.groupBy("aln_id").agg(F.avg("score").alias("_mid"))  # sums of squares about the mean keep their figures
+    scores = scores.join(mid, "aln_id").select("aln_id", "i", "j", (F.col("score") - F.col("_mid")).alias("score"))
     both = scores.select("aln_id", F.col("i").alias("c"), "score").unionByName(scores.select("aln_id", F.col("j").alias("c"), "score"))
     s = both.groupBy("aln_id", "c").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("s"), F.sum(F.col("score") ** 2).alias("q"))
     d = scores.join(contacts.select("aln_id", "i", "j").distinct(), ["aln_id", "i", "j"])

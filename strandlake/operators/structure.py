@@ -40,7 +40,9 @@ def to_wuss(pairs: list[tuple[int, int, str]], width: int) -> str:
         if layer == "nested":
             a, b = "<", ">"
         else:
-            a = letters.setdefault(layer, chr(65 + len(letters) % 26))
+            if layer not in letters and len(letters) == 26:
+                raise ValueError("a WUSS string has letters for 26 layers")
+            a = letters.setdefault(layer, chr(65 + len(letters)))
             b = a.lower()
         out[i - 1], out[j - 1] = a, b
     return "".join(out)
@@ -178,96 +180,133 @@ def _emit(seq: str, single: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, n
     return x @ single, x @ pair @ x.T
 
 
+def _scaled(run, x: np.ndarray, n: int) -> tuple[float, object]:
+    """ln P from ``run(scale)``, which multiplies every letter's emission by ``scale`` so that tables stay in a double's range.
+
+    The scale comes from the first letters and is moved until the whole is neither 0 nor infinite. Returns ln P and run's tables.
+    """
+    scale = 4.0
+    for part in (min(n, 60), min(n, 400), n):
+        low, high = 0.0, np.inf
+        for _ in range(200):
+            p, tables = run(part, scale)
+            if np.isfinite(p) and p > 0:
+                break
+            if p == 0:  # too small, or no parse at all
+                low = scale
+            else:
+                high = scale
+            scale = scale * 1.5 if high == np.inf else (low + high) / 2
+            if scale > 1e6:
+                return -np.inf, tables
+        else:
+            return -np.inf, tables
+        log = float(np.log(p) - part * np.log(scale))
+        if part < n:
+            scale = float(np.exp(-log / part))
+    return log, tables
+
+
+def _rows_g5(e1: np.ndarray, e2: np.ndarray, t: tuple[float, float, float]) -> np.ndarray:
+    """s[i, j] for the letters i..j-1; a row needs one vector-matrix product with the rows below it."""
+    n = len(e1)
+    s = np.zeros((n + 1, n + 1))
+    s[n, n] = t[2]
+    with np.errstate(over="ignore", invalid="ignore"):
+        for i in range(n - 1, -1, -1):
+            s[i] = t[0] * e1[i] * s[i + 1]
+            if i + 1 < n:
+                s[i, i + 2 :] += t[1] * ((e2[i, i + 1 :] * s[i + 1, i + 1 : n]) @ s[i + 2 :, i + 2 :])
+            s[i, i] = t[2]
+    return s
+
+
 def inside_g5(seq: str, t: tuple[float, float, float], single: np.ndarray, pair: np.ndarray) -> float:
-    """ln P(seq) under S -> a S | a S b S | end, with rule probabilities t."""
+    """ln P(seq) under S -> a S | a S b S | end, with rule probabilities t; finite at any length."""
     n = len(seq)
     e1, e2 = _emit(seq, single, pair)
-    s = np.zeros((n + 2, n + 2))
-    for i in range(n + 1):
-        s[i, i] = t[2]  # empty stretch from i
-    for d in range(1, n + 1):
-        for i in range(n - d + 1):
-            j = i + d  # letters i..j-1
-            v = t[0] * e1[i] * s[i + 1, j]
-            k = np.arange(i + 1, j)
-            v += t[1] * float((e2[i, k] * s[i + 1, k] * s[k + 1, j]).sum())
-            s[i, j] = v
-    return float(np.log(s[0, n]))
+
+    def run(m, c):
+        s = _rows_g5(e1[:m] * c, e2[:m, :m] * c * c, t)
+        return s[0, m], s
+
+    return _scaled(run, e1, n)[0] if n else float(np.log(t[2]))
 
 
 def outside_g5(seq: str, t: tuple[float, float, float], single: np.ndarray, pair: np.ndarray) -> np.ndarray:
     """Posterior probability of every pair (i, k) under G5."""
     n = len(seq)
     e1, e2 = _emit(seq, single, pair)
-    s = np.zeros((n + 2, n + 2))
-    for i in range(n + 1):
-        s[i, i] = t[2]
-    for d in range(1, n + 1):
-        for i in range(n - d + 1):
-            j, k = i + d, np.arange(i + 1, i + d)
-            s[i, j] = t[0] * e1[i] * s[i + 1, j] + t[1] * float((e2[i, k] * s[i + 1, k] * s[k + 1, j]).sum())
-    o, post = np.zeros_like(s), np.zeros((n, n))
-    o[0, n] = 1.0
-    for d in range(n, 0, -1):
-        for i in range(n - d + 1):
-            j = i + d
-            if o[i, j] == 0:
-                continue
-            o[i + 1, j] += o[i, j] * t[0] * e1[i]
-            for k in range(i + 1, j):
-                w = o[i, j] * t[1] * e2[i, k]
-                o[i + 1, k] += w * s[k + 1, j]
-                o[k + 1, j] += w * s[i + 1, k]
-                post[i, k] += w * s[i + 1, k] * s[k + 1, j] / s[0, n]
+    found = {}
+
+    def run(m, c):
+        found["c"] = c
+        s = _rows_g5(e1[:m] * c, e2[:m, :m] * c * c, t)
+        return s[0, m], s
+
+    log, s = _scaled(run, e1, n)
+    post = np.zeros((n, n))
+    if not np.isfinite(log):
+        return post
+    e1, e2 = e1 * found["c"], e2 * found["c"] ** 2
+    o = np.zeros_like(s)
+    o[0, n] = 1 / s[0, n]
+    for i in range(n):
+        # o[i] is whole now: it came from rows above only
+        row = o[i]
+        o[i + 1] += row * t[0] * e1[i]
+        k = np.arange(i + 1, n)
+        if len(k):
+            w = t[1] * e2[i, k]
+            after = s[k + 1] @ row  # for each k the sum over ends j > k of what follows the pair
+            o[i + 1, k] += w * after
+            o[k + 1] += (w * s[i + 1, k])[:, None] * np.where(np.arange(n + 1)[None, :] > k[:, None], row[None, :], 0)
+            post[i, k] = w * s[i + 1, k] * after
     return post
 
 
 def inside_g6(seq: str, t: dict[str, tuple[float, ...]], single: np.ndarray, pair: np.ndarray, stack: np.ndarray | None = None, bifurcation_free_end: bool = False) -> float:
-    """ln P(seq) under S -> L S | L, L -> a F a' | a, F -> a F a' | L S.
+    """ln P(seq) under S -> L S | L, L -> a F a' | a, F -> a F a' | L S; finite at any length that has a parse.
 
     ``stack`` [16, 16] makes pairs inside a helix depend on the one outside (G6S). With ``bifurcation_free_end`` the
     variant S -> L S | end, L -> a F a' | a a' | a, F -> a F a' | a a' | L S is meant (G6X, and with stack G6XS).
+    A row of each table is one vector-matrix product.
     """
     n = len(seq)
     x = one_hot(seq)
-    e1, e2 = x @ single, x @ pair @ x.T
-    L, S = np.zeros((n + 2, n + 2)), np.zeros((n + 2, n + 2))
-    Fm = np.zeros((n + 2, n + 2))
-    st = None
+    e1, e2 = _emit(seq, single, pair)
+    inner = None
     if stack is not None:
         pr = np.einsum("ia,jb->ijab", x, x).reshape(n, n, 16)
-        st = lambda i, j: float(pr[i, j] @ stack @ pr[i + 1, j - 1])  # noqa: E731  the pair at (i+1, j-1) given the one at (i, j)
-    if bifurcation_free_end:
-        for i in range(n + 1):
-            S[i, i] = t["S"][1]
-    for d in range(1, n + 1):
-        for i in range(n - d + 1):
-            j = i + d
-            k = np.arange(i + 1, j) if not bifurcation_free_end else np.arange(i + 1, j + 1)
-            if d >= 2:
-                inner = Fm[i + 1, j - 1] if d > 2 else 0.0
-                lpair = e2[i, j - 1]
-                L[i, j] = t["L"][0] * lpair * inner
-                if bifurcation_free_end and d == 2:
-                    L[i, j] += t["L"][1] * lpair
-            if d == 1:
-                L[i, j] = t["L"][-1] * e1[i]
-            split = float((L[i, k] * S[k, j]).sum())
-            if bifurcation_free_end:
-                S[i, j] = t["S"][0] * split
-            else:
-                S[i, j] = t["S"][0] * split + t["S"][1] * L[i, j]
-            f = t["F"][-1] * split
-            if d >= 2:
-                p = e2[i, j - 1]
-                if st is not None and i > 0 and j < n:
-                    p = st(i - 1, j)
-                if d > 2:
-                    f += t["F"][0] * p * Fm[i + 1, j - 1]
-                elif bifurcation_free_end:
-                    f += t["F"][1] * p
-            Fm[i, j] = f
-    return float(np.log(S[0, n])) if S[0, n] > 0 else -np.inf
+        inner = np.zeros((n, n))  # the pair (i, j) given the one around it
+        inner[1:, :-1] = np.einsum("ijp,ijp->ij", pr[:-1, 1:] @ stack, pr[1:, :-1])
+        inner[0], inner[:, -1] = e2[0], e2[:, -1]
+    free = bifurcation_free_end
+
+    def run(m, c):
+        a1, a2 = e1[:m] * c, e2[:m, :m] * c * c
+        a3 = a2 if inner is None else np.where((np.arange(m)[:, None] > 0) & (np.arange(m)[None, :] < m - 1), inner[:m, :m], e2[:m, :m]) * c * c
+        S, below = np.zeros((m + 1, m + 1)), np.zeros(m + 1)  # below: row i+1 of F
+        if free:
+            S[m, m] = t["S"][1]
+        with np.errstate(over="ignore", invalid="ignore"):
+            for i in range(m - 1, -1, -1):
+                L, Fr = np.zeros(m + 1), np.zeros(m + 1)
+                j = np.arange(i + 3, m + 1)
+                L[j] = t["L"][0] * a2[i, j - 1] * below[j - 1]
+                Fr[j] = t["F"][0] * a3[i, j - 1] * below[j - 1]
+                if free and i + 2 <= m:
+                    L[i + 2] += t["L"][1] * a2[i, i + 1]
+                    Fr[i + 2] += t["F"][1] * a3[i, i + 1]
+                L[i + 1] = t["L"][-1] * a1[i]
+                split = L[i + 1 :] @ S[i + 1 :]
+                S[i] = t["S"][0] * split + (0 if free else t["S"][1] * L)
+                if free:
+                    S[i, i] = t["S"][1]
+                below = Fr + t["F"][-1] * split
+        return S[0, m], S
+
+    return _scaled(run, e1, n)[0] if n else (float(np.log(t["S"][1])) if free else -np.inf)
 
 
 def mea_pairs(post: np.ndarray, gamma: float = 1.0) -> list[tuple[int, int]]:
@@ -278,23 +317,71 @@ def mea_pairs(post: np.ndarray, gamma: float = 1.0) -> list[tuple[int, int]]:
     return _nested(n, {p: s for p, s in score.items() if s > 0})
 
 
-def inside(seqs: DataFrame, grammar: str = "g5") -> DataFrame:
-    """(seq_id, logp) for (seq_id, aseq) by uniform-rate parameters of a grammar; rows without residues give null."""
-    single, pair = np.full(4, 0.25), np.full((4, 4), 1 / 16)
-    t6 = {"S": (0.6, 0.4), "L": (0.3, 0.7), "F": (0.6, 0.4)}
-    t6x = {"S": (0.6, 0.4), "L": (0.2, 0.1, 0.7), "F": (0.5, 0.1, 0.4)}
+#: Rule probabilities of the built-in parameter sets: the transitions of each nonterminal in the order of its rules.
+RULES = {"g5": (0.4, 0.2, 0.4), "g6": {"S": (0.6, 0.4), "L": (0.3, 0.7), "F": (0.6, 0.4)}, "g6x": {"S": (0.6, 0.4), "L": (0.2, 0.1, 0.7), "F": (0.5, 0.1, 0.4)}}
+
+
+def emissions(canonical: float = 0.9) -> tuple[np.ndarray, np.ndarray]:
+    """(single, pair): even letters; Watson-Crick and wobble pairs share ``canonical``, the other ten the rest."""
+    pair = np.full((4, 4), (1 - canonical) / 10)
+    for a in range(4):
+        for b in range(4):
+            if a + b in (3, 5):
+                pair[a, b] = canonical / 6
+    return np.full(4, 0.25), pair
+
+
+def _letters(a: str | None) -> str:
+    return "".join(c for c in (a or "").upper() if c.isalpha())
+
+
+def inside(seqs: DataFrame, grammar: str = "g5", canonical: float = 0.375) -> DataFrame:
+    """(seq_id, logp) for (seq_id, aseq) under g5, g6, g6s, g6x or g6xs; rows without residues give null. Cubic in the length, in numpy products."""
+    single, pair = emissions(canonical)
+    stack = np.tile(pair.ravel(), (16, 1)) if grammar.endswith("s") else None
+    rules = RULES[grammar.removesuffix("s")]
 
     @F.pandas_udf("double")
     def f(s: pd.Series) -> pd.Series:
         out = []
-        for a in s:
-            r = "".join(c for c in (a or "").upper() if c.isalpha())
+        for r in map(_letters, s):
             if not r:
                 out.append(None)
             elif grammar == "g5":
-                out.append(inside_g5(r, (0.4, 0.2, 0.4), single, pair))
+                out.append(inside_g5(r, rules, single, pair))
             else:
-                out.append(inside_g6(r, t6 if grammar in ("g6", "g6s") else t6x, single, pair, np.full((16, 16), 1 / 16) if grammar.endswith("s") else None, "x" in grammar))
-        return pd.Series(out)
+                out.append(inside_g6(r, rules, single, pair, stack, "x" in grammar))
+        return pd.Series(out, dtype=float)
 
     return seqs.select("seq_id", f("aseq").alias("logp"))
+
+
+def fold(seqs: DataFrame, gamma: float = 1.0, canonical: float = 0.9) -> DataFrame:
+    """(seq_id, i, j): pairs of greatest expected accuracy under G5 posteriors for (seq_id, aseq); i and j count residues from 1."""
+    single, pair = emissions(canonical)
+
+    def f(it):
+        for t in it:
+            rows = [(k, i, j) for k, r in zip(t.seq_id, map(_letters, t.aseq)) if len(r) > 1 for i, j in mea_pairs(outside_g5(r, RULES["g5"], single, pair), gamma)]
+            yield pd.DataFrame(rows, columns=["seq_id", "i", "j"])
+
+    return seqs.select("seq_id", "aseq").mapInPandas(f, "seq_id long, i int, j int")
+
+
+def expected_rules(seq: str, t: tuple[float, float, float], single: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """Expected uses of the three rules of G5 in the parses of a sequence; an end comes after every single and twice for every pair, once more in all."""
+    pairs = float(outside_g5(seq, t, single, pair).sum())
+    singles = len(seq) - 2 * pairs
+    return np.array([singles, pairs, pairs + 1])
+
+
+def train_g5(seqs: list[str], rounds: int = 10, start: tuple[float, float, float] = (0.4, 0.2, 0.4), canonical: float = 0.9) -> tuple[float, float, float]:
+    """Rule probabilities of G5 by expectation maximisation over unfolded sequences; each round makes them no less likely."""
+    single, pair = emissions(canonical)
+    t = start
+    for _ in range(rounds):
+        n = sum((expected_rules(r, t, single, pair) for r in map(_letters, seqs) if r), np.zeros(3))
+        if not n.sum():
+            break
+        t = tuple((n / n.sum()).tolist())
+    return t

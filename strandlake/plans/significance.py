@@ -10,9 +10,11 @@ from strandlake.operators import pairs as P
 from strandlake.operators import power as PW
 from strandlake.operators import pseudo
 from strandlake.operators import significance as S
+from strandlake.operators import structure as T
 from strandlake.plans import oracle as O
 from strandlake.plans.covariation import rnd
 from strandlake.storage import materialize
+from strandlake.tables import once, table
 
 CURVE = [(0.0, 0.0), (5.0, 0.1), (10.0, 0.5), (20.0, 0.9)]
 
@@ -60,7 +62,7 @@ def tail_fit(spark, sf_dir) -> DataFrame:
 def null_survival(spark, sf_dir) -> DataFrame:
     _, frame, hist, fit = _null(spark, sf_dir)
     s = S.survival(hist, fit, frame)
-    return s.select("aln_id", "bin", rnd(F.col("lo")).alias("lo"), "above", "nc", rnd(F.col("surv")).alias("surv"), rnd(F.col("survfit")).alias("survfit"))
+    return s.select("aln_id", "bin", rnd(F.col("hi")).alias("hi"), "above", "nc", rnd(F.col("surv")).alias("surv"), rnd(F.col("survfit")).alias("survfit"))
 
 
 def e_values(spark, sf_dir) -> DataFrame:
@@ -73,6 +75,56 @@ def hits(spark, sf_dir) -> DataFrame:
     return h.select("aln_id", F.when(F.col("is_bp"), "*").otherwise("").alias("mark"), F.col("i").alias("left_pos"), F.col("j").alias("right_pos"), "score", rnd(F.col("evalue"), 5).alias("evalue"))
 
 
+def e_values_one_set(spark, sf_dir) -> DataFrame:
+    """All pairs as one set of tests."""
+    real, frame, hist, fit = _null(spark, sf_dir)
+    e = S.e_values(S.p_values(real, hist, fit, frame), hairpin(real), two_sets=False)
+    return e.select("aln_id", "i", "j", "is_bp", rnd(F.col("evalue")).alias("evalue"))
+
+
+def e_values_expected(spark, sf_dir) -> DataFrame:
+    """The first 20 hits outside the base pairs count against 20 tests."""
+    real, frame, hist, fit = _null(spark, sf_dir)
+    e = S.e_values(S.p_values(real, hist, fit, frame), hairpin(real), 20)
+    return e.select("aln_id", "i", "j", rnd(F.col("evalue")).alias("evalue"))
+
+
+def score_thresholds(spark, sf_dir) -> DataFrame:
+    """The score at which 2016 tests have an E-value of 5."""
+    _, frame, hist, fit = _null(spark, sf_dir)
+    return S.score_at(hist, fit, frame, 2016, 5.0).select("aln_id", rnd(F.col("score")).alias("score"))
+
+
+def gamma_tail(spark, sf_dir) -> DataFrame:
+    _, frame, hist, _ = _null(spark, sf_dir)
+    g = S.fit_gamma(hist, S.tail(hist), frame)
+    return g.select("aln_id", *(rnd(F.col(c)).alias(c) for c in ("phi", "mass", "lam", "tau")), "nc")
+
+
+def merged_nulls(spark, sf_dir) -> DataFrame:
+    """Two replicates' histograms as one, in the bins of both together."""
+    null = scored(spark, sf_dir)[1]
+    frame = S.bin_frame(null)
+    odd, even = null.where("i % 2 = 1"), null.where("i % 2 = 0")
+    return S.merge(S.histogram(odd, frame), S.histogram(even, frame))
+
+
+def marked_pairs(spark, sf_dir) -> DataFrame:
+    """Marks of the pairs with E below 5: first and last columns pair, every seventh diagonal is a stack, every eleventh a contact."""
+    ev = S.hits(_evalues(spark, sf_dir), 5.0)
+    d = F.col("j") - F.col("i")
+    kind = F.when(F.col("is_bp") & (F.col("i") % 2 == 0), S.WWC).when(F.col("is_bp"), 5).when(d % 7 == 0, S.STACKED).when(d % 11 == 0, 13).otherwise(S.NONE)
+    ct = ev.where("is_bp").select("aln_id", "i", "j")
+    free = T.compatible(ev.select("aln_id", "i", "j"), ct).withColumn("free", F.lit(True))
+    m = ev.join(free, ["aln_id", "i", "j"], "left").withColumn("free", F.coalesce("free", F.lit(False)))
+    return m.select("aln_id", "i", "j", S.pair_mark(kind, F.col("free")).alias("mark"))
+
+
+def null_counts(spark, sf_dir) -> DataFrame:
+    a = once(table(spark, sf_dir, "alignments"), "aln_id", "nseq", "alen").where("nseq > 0 AND alen > 0")
+    return a.select("aln_id", S.null_count(F.col("nseq"), F.col("alen")).cast("int").alias("n_nulls"))
+
+
 def hit_summary(spark, sf_dir) -> DataFrame:
     s = S.summary(_evalues(spark, sf_dir), 5.0)
     return s.select("aln_id", "found", "true", "tp", *(rnd(F.col(c)).alias(c) for c in ("sen", "ppv", "f")))
@@ -138,7 +190,7 @@ def power_summary(spark, sf_dir) -> DataFrame:
     return s.select("aln_id", "n_bp", *(rnd(F.col(c)).alias(c) for c in ("expected", "sd", "mean_subs")), "observed")
 
 
-QUERIES = {f.__name__: f for f in (null_histogram, tail_fit, null_survival, e_values, hits, hit_summary, roc, survival_curves, z_scores, fisher_groups, sidak_groups, column_subs, pair_subs, pair_power, power_summary)}
+QUERIES = {f.__name__: f for f in (e_values_one_set, e_values_expected, score_thresholds, gamma_tail, merged_nulls, marked_pairs, null_counts, null_histogram, tail_fit, null_survival, e_values, hits, hit_summary, roc, survival_curves, z_scores, fisher_groups, sidak_groups, column_subs, pair_subs, pair_power, power_summary)}
 
 _SC = f"""WITH {O.CELLS["embeddings"].replace("cells AS", "base AS", 1)},
 pc AS (SELECT *, row_number() OVER (PARTITION BY aln_id, col ORDER BY seq) AS o, row_number() OVER (PARTITION BY aln_id, col ORDER BY md5(concat_ws('|', 11, 1, aln_id, col, seq)), seq) AS n FROM base WHERE res < 4),
@@ -156,8 +208,10 @@ kk AS (SELECT h.aln_id, sum(obs * (bin - phi_bin)) / sum(obs) AS k FROM h JOIN t
 ft AS (SELECT tl.aln_id, bmin + phi_bin * w AS phi, mass, CASE WHEN k > 0 THEN ln(1 + 1 / k) / w END AS lam, nc FROM tl JOIN kk ON kk.aln_id = tl.aln_id JOIN fr ON fr.aln_id = tl.aln_id)"""
 _E = _H + """,
 rb AS (SELECT re.*, CAST(greatest(0, ceil((score - bmin) / w) - 1) AS INTEGER) AS bin FROM re JOIN fr ON fr.aln_id = re.aln_id),
-ab AS (SELECT rb.aln_id, rb.i, rb.j, rb.score, coalesce(sum(obs), 0) AS a FROM rb LEFT JOIN h ON h.aln_id = rb.aln_id AND h.bin >= rb.bin GROUP BY ALL),
-pv AS (SELECT ab.aln_id, ab.i, ab.j, score, CASE WHEN score >= phi AND lam IS NOT NULL THEN mass * exp(-lam * (score - phi)) ELSE a / nc END AS pval FROM ab JOIN ft ON ft.aln_id = ab.aln_id),
+ab AS (SELECT rb.aln_id, rb.i, rb.j, rb.score, rb.bin, coalesce(sum(obs), 0) AS a FROM rb LEFT JOIN h ON h.aln_id = rb.aln_id AND h.bin >= rb.bin GROUP BY ALL),
+tb AS (SELECT aln_id, min(bin) AS imin, max(bin) AS imax, greatest(100, max(bin) + 1) AS nb FROM h GROUP BY 1),
+pv AS (SELECT ab.aln_id, ab.i, ab.j, score, CASE WHEN lam IS NOT NULL AND (score >= phi OR ab.bin >= 2 * nb - 1) THEN mass * exp(-lam * (bmin + least(ab.bin + 2, 2 * nb) * w - phi)) WHEN ab.bin >= imax - 1 THEN 1 / nc ELSE greatest(a, 1) / nc END AS pval
+ FROM ab JOIN ft ON ft.aln_id = ab.aln_id JOIN tb ON tb.aln_id = ab.aln_id JOIN fr ON fr.aln_id = ab.aln_id),
 ev AS (SELECT *, CASE WHEN is_bp THEN pval * sum(CAST(is_bp AS INTEGER)) OVER (PARTITION BY aln_id) ELSE pval * sum(1 - CAST(is_bp AS INTEGER)) OVER (PARTITION BY aln_id) END AS evalue
  FROM (SELECT pv.*, hp.i IS NOT NULL AS is_bp FROM pv LEFT JOIN hp ON hp.aln_id = pv.aln_id AND hp.i = pv.i AND hp.j = pv.j))"""
 _RATES = f"{O.r('sen', 'sen')}, {O.r('ppv', 'ppv')}, {O.r('CASE WHEN sen + ppv > 0 THEN 2 * sen * ppv / (sen + ppv) ELSE 0 END', 'f')}"
@@ -171,9 +225,21 @@ pw AS (SELECT a.aln_id, a.col AS i, b.col AS j, a.nsubs + b.nsubs AS nsubs FROM
 po AS (SELECT *, CAST(CASE WHEN nsubs > 20 THEN 0.9 WHEN nsubs > 10 THEN 0.5 WHEN nsubs > 5 THEN 0.1 ELSE 0 END AS DOUBLE) AS power FROM pw)"""
 
 ORACLE = {
+    "e_values_one_set": _E + f" SELECT aln_id, i, j, is_bp, {O.r('pval * count(*) OVER (PARTITION BY aln_id)', 'evalue')} FROM ev",
+    "e_values_expected": _E + f", ex AS (SELECT *, coalesce(sum(CASE WHEN NOT is_bp AND pval * 20 < 0.05 THEN 1 ELSE 0 END) OVER (PARTITION BY aln_id ORDER BY i, j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ev) SELECT aln_id, i, j, {O.r('CASE WHEN NOT is_bp AND before < 20 THEN pval * 20 ELSE evalue END', 'evalue')} FROM ex",
+    "score_thresholds": _H + f""", tb AS (SELECT aln_id, min(bin) AS imin, greatest(100, max(bin) + 1) AS nb FROM h GROUP BY 1),
+fb AS (SELECT ft.aln_id, max(b) AS b FROM ft JOIN tb ON tb.aln_id = ft.aln_id JOIN tl ON tl.aln_id = ft.aln_id JOIN fr ON fr.aln_id = ft.aln_id, range(0, 2000) r(b) WHERE b >= phi_bin AND b < 2 * nb AND ft.nc >= 10 AND ft.mass * exp(-lam * (bmin + (b + 1) * w - phi)) * 2016 >= 5 GROUP BY 1),
+sb AS (SELECT aln_id, max(bin) AS b FROM cu WHERE above * 2016 >= 5 * nc GROUP BY 1)
+SELECT fr.aln_id, {O.r('CASE WHEN fb.b IS NOT NULL THEN bmin + fb.b * w ELSE bmin + (coalesce(sb.b, imin - 1) + 1) * w END', 'score')} FROM fr JOIN tb ON tb.aln_id = fr.aln_id LEFT JOIN fb ON fb.aln_id = fr.aln_id LEFT JOIN sb ON sb.aln_id = fr.aln_id""",
+    "gamma_tail": _H + f", m AS (SELECT h.aln_id, sum(obs * (bin - phi_bin + 0.5::DOUBLE) * w) / sum(obs) AS m, sum(obs * ((bin - phi_bin + 0.5::DOUBLE) * w) ** 2) / sum(obs) AS q FROM h JOIN tl ON tl.aln_id = h.aln_id JOIN fr ON fr.aln_id = h.aln_id WHERE bin >= phi_bin GROUP BY 1) SELECT ft.aln_id, {O.r('phi', 'phi')}, {O.r('mass', 'mass')}, {O.r('CASE WHEN q - m * m > 1e-12 THEN m / (q - m * m) END', 'lam')}, {O.r('CASE WHEN q - m * m > 1e-12 THEN m * m / (q - m * m) END', 'tau')}, CAST(nc AS BIGINT) AS nc FROM ft JOIN m ON m.aln_id = ft.aln_id",
+    "merged_nulls": _H + " SELECT aln_id, bin, obs FROM h",
+    "marked_pairs": _E + """, hi AS (SELECT * FROM ev WHERE evalue < 5), u AS (SELECT DISTINCT aln_id, unnest([i, j]) AS c FROM hi WHERE is_bp),
+k AS (SELECT hi.*, NOT EXISTS (SELECT 1 FROM u WHERE u.aln_id = hi.aln_id AND (u.c = hi.i OR u.c = hi.j)) AS free FROM hi)
+SELECT aln_id, i, j, CASE WHEN is_bp AND i % 2 = 0 THEN '*' WHEN is_bp THEN '**' WHEN (j - i) % 7 = 0 OR (j - i) % 11 = 0 THEN CASE WHEN free THEN 'c~' ELSE 'c' END WHEN free THEN '~' ELSE ' ' END AS mark FROM k""",
+    "null_counts": "WITH a AS (SELECT aln_id, min(nseq) AS nseq, min(alen) AS alen FROM alignments WHERE aln_id IS NOT NULL GROUP BY 1) SELECT aln_id, CASE WHEN CAST(nseq AS BIGINT) * alen < 1000 THEN 100 WHEN CAST(nseq AS BIGINT) * alen < 10000 THEN 50 ELSE 20 END AS n_nulls FROM a WHERE nseq > 0 AND alen > 0",
     "null_histogram": _H + " SELECT aln_id, bin, obs FROM h",
     "tail_fit": _H + f" SELECT aln_id, {O.r('phi', 'phi')}, {O.r('mass', 'mass')}, {O.r('lam', 'lam')}, CAST(nc AS BIGINT) AS nc FROM ft",
-    "null_survival": _H + f" SELECT cu.aln_id, bin, {O.r('bmin + bin * w', 'lo')}, CAST(above AS BIGINT) AS above, CAST(cu.nc AS BIGINT) AS nc, {O.r('above / cu.nc', 'surv')}, {O.r('CASE WHEN bmin + bin * w >= phi THEN mass * exp(-lam * (bmin + bin * w - phi)) END', 'survfit')} FROM cu JOIN ft ON ft.aln_id = cu.aln_id JOIN fr ON fr.aln_id = cu.aln_id",
+    "null_survival": _H + f" SELECT cu.aln_id, bin, {O.r('bmin + (bin + 1) * w', 'hi')}, CAST(above AS BIGINT) AS above, CAST(cu.nc AS BIGINT) AS nc, {O.r('above / cu.nc', 'surv')}, {O.r('CASE WHEN bmin + bin * w >= phi THEN mass * exp(-lam * (bmin + (bin + 1) * w - phi)) END', 'survfit')} FROM cu JOIN ft ON ft.aln_id = cu.aln_id JOIN fr ON fr.aln_id = cu.aln_id",
     "e_values": _E + f" SELECT aln_id, i, j, score, {O.r('pval', 'pval', 8)}, is_bp, {O.r('evalue', 'evalue')} FROM ev",
     "hits": _E + f" SELECT aln_id, CASE WHEN is_bp THEN '*' ELSE '' END AS mark, i AS left_pos, j AS right_pos, score, {O.r('evalue', 'evalue', 5)} FROM ev WHERE evalue < 5",
     "hit_summary": _E + f""", g AS (SELECT aln_id, count(*) FILTER (WHERE evalue < 5) AS found, count(*) FILTER (WHERE is_bp) AS "true", count(*) FILTER (WHERE is_bp AND evalue < 5) AS tp FROM ev GROUP BY 1), q AS (SELECT *, {_SP} FROM g) SELECT aln_id, found, "true", tp, {_RATES} FROM q""",
