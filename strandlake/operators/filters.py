@@ -78,6 +78,12 @@ def keep_columns(rows: DataFrame, gapthresh: float = 0.5) -> DataFrame:
     return kept.select("aln_id", "col", (F.row_number().over(W.partitionBy("aln_id").orderBy("col")) - 1).cast("int").alias("i"))
 
 
+def keep(residue: np.ndarray, known: np.ndarray, gapthresh: float = 0.5) -> np.ndarray:
+    """The rule of ``keep_columns`` on matrices of one alignment: whether a column stays."""
+    r, t = (residue & known).sum(0), known.sum(0)
+    return (r > 0) & (r >= (1 - gapthresh) * t)
+
+
 def consensus_columns(aln_cols: DataFrame) -> DataFrame:
     """(aln_id, col) where the consensus (seq_cons, else rf) is no dot."""
     c = F.coalesce("seq_cons", "rf")

@@ -1,6 +1,7 @@
 """Trees of sequences: UPGMA, midpoint root, ancestral residues by parsimony, substitutions replayed as a null.
 
-Every alignment is one group; all its replicates and columns are done in numpy at once.
+Every alignment is one group; all its replicates and columns are done in numpy at once. A tree joins at most ``REPS`` representatives by UPGMA, the other
+rows hang beside their nearest one: time and memory grow with the rows, not their square.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GAP = 4
+#: Rows that UPGMA joins at most; an alignment up to this size gets the exact tree.
+REPS = 256
 
 
 def encode(rows: list[str]) -> np.ndarray:
@@ -26,16 +29,44 @@ def encode(rows: list[str]) -> np.ndarray:
     return x
 
 
-def distances(x: np.ndarray) -> np.ndarray:
-    """1 - identity over the columns where both rows have residues; 1 where there are none."""
-    has = (x < GAP).astype(float)
-    both = has @ has.T
-    same = sum((x == k).astype(float) @ (x == k).astype(float).T for k in range(4))
-    d = np.where(both > 0, 1 - same / np.maximum(both, 1), 1.0)
-    np.fill_diagonal(d, 0)
+def distances(x: np.ndarray, y: np.ndarray | None = None) -> np.ndarray:
+    """1 - identity over the columns where both rows have residues; 1 where there are none. Of the rows of x, or of x and y."""
+    z = x if y is None else y
+    both = (x < GAP).astype(np.float32) @ (z < GAP).astype(np.float32).T
+    same = sum((x == k).astype(np.float32) @ (z == k).astype(np.float32).T for k in range(4))
+    d = np.where(both > 0, 1 - same.astype(float) / np.maximum(both, 1), 1.0)
+    if y is None:
+        np.fill_diagonal(d, 0)
     return d
 
 
+def infer(x: np.ndarray, reps: int = REPS) -> list[tuple[int, int, float]]:
+    """Edges (parent, child, length) of a tree of all rows, leaves 0..n-1, the root last.
+
+    Up to ``reps`` rows this is UPGMA on identity. Of more, ``reps`` at even distances in the order of the rows as strings, so that like rows are
+    covered, are joined by UPGMA; every other row becomes a leaf beside the representative nearest to it, the first of equals.
+    """
+    n = len(x)
+    if n <= reps:
+        return upgma(distances(x))
+    order = np.lexsort(x.T[::-1])
+    chosen = np.sort(order[np.linspace(0, n - 1, reps).astype(int)])
+    near = np.concatenate([distances(x[a : a + 4096], x[chosen]).argmin(1) for a in range(0, n, 4096)])
+    near[chosen] = np.arange(reps)
+    far = np.empty(n)
+    for k in range(reps):
+        m = np.flatnonzero(near == k)
+        far[m] = distances(x[m], x[chosen[k] : chosen[k] + 1])[:, 0]
+    kids = np.bincount(near, minlength=reps)
+    top = upgma(distances(x[chosen]))
+    hub, node = {}, n  # a representative with others beside it is a leaf below a node of its own
+    for k in np.flatnonzero(kids > 1).tolist():
+        hub[k], node = node, node + 1
+    name = [hub.get(k, int(chosen[k])) for k in range(reps)] + list(range(node, node + reps - 1))
+    edges = [(hub[k], int(i), float(far[i]) / 2) for k in hub for i in np.flatnonzero(near == k)]
+    return edges + [(name[p], name[c], b) for p, c, b in top]
+
+
 def upgma(d: np.ndarray) -> list[tuple[int, int, float]]:
     """(parent, child, branch length): leaves are 0..n-1, inner nodes follow, the last is the root. Ties join the first pair."""
     n = len(d)
@@ -138,56 +169,157 @@ def fitch(x: np.ndarray, edges: list[tuple[int, int, float]]) -> tuple[np.ndarra
     return states, changes
 
 
-def replay(states: np.ndarray, edges: list[tuple[int, int, float]], n: int, rng: np.random.Generator) -> np.ndarray:
-    """Leaves of a null alignment: the root's columns are shuffled, and each branch's substitutions old -> new hit random places that hold old.
+def replays(states: np.ndarray, edges: list[tuple[int, int, float]], n: int, reps: int, rng: np.random.Generator) -> np.ndarray:
+    """Leaves of null alignments [reps, n, columns]: the root's columns are shuffled, and each branch's substitutions old -> new hit random places that hold old.
 
-    Composition and number of changes on every branch are those of the real tree; columns become independent.
+    Composition and number of changes on every branch are those of the real tree; columns become independent. So at every node all
+    replicates hold each symbol equally often, and a branch is done for all of them by one sort.
     """
     kids: dict[int, list[int]] = {}
     for p, c, _ in edges:
         kids.setdefault(p, []).append(c)
     root = next(iter(set(kids) - {c for v in kids.values() for c in v}))
-    out = np.zeros_like(states)
-    out[root] = states[root][rng.permutation(states.shape[1])]
-    todo = [root]
-    for u in todo:
-        for c in kids.get(u, ()):
-            row = out[u].copy()
-            old, new = states[u], states[c]
-            hit = np.flatnonzero(old != new)
-            taken = np.zeros(len(row), bool)
-            pairs, count = np.unique(old[hit].astype(int) * 8 + new[hit], return_counts=True)
-            for key, k in zip(pairs, count):
-                spots = np.flatnonzero((out[u] == key // 8) & ~taken)
-                pick = rng.choice(spots, min(k, len(spots)), replace=False)
-                row[pick] = key % 8
-                taken[pick] = True
-            out[c] = row
-            todo.append(c)
-    return out[:n]
+    width = states.shape[1]
+    out = np.empty((reps, n, width), np.uint8)
+    todo = [(root, states[root][rng.random((reps, width)).argsort(1)])]
+    while todo:  # only nodes whose children are to come are held
+        u, above = todo.pop()
+        for c in kids[u]:
+            row, hit = above, np.flatnonzero(states[u] != states[c])
+            if len(hit):
+                old, new = states[u][hit], states[c][hit]
+                order = (above + rng.random((reps, width))).argsort(1)  # places by what they hold, at random among the same
+                first = np.concatenate([[0], np.cumsum(np.bincount(states[u], minlength=GAP + 1))])
+                by = np.argsort(old, kind="stable")
+                old = old[by]
+                slot = first[old] + np.arange(len(old)) - np.searchsorted(old, old)
+                row = above.copy()
+                np.put_along_axis(row, order[:, slot], np.broadcast_to(new[by], (reps, len(by))), 1)
+            if c in kids:
+                todo.append((c, row))
+            else:
+                out[:, c] = row
+    return out
+
+
+def replay(states: np.ndarray, edges: list[tuple[int, int, float]], n: int, rng: np.random.Generator) -> np.ndarray:
+    return replays(states, edges, n, 1, rng)[0]
 
 
 def build(rows: DataFrame) -> DataFrame:
-    """(aln_id, parent, child, is_leaf, blen) by UPGMA on identity, for (aln_id, seq_id, aseq); leaves are numbered by seq_id.
+    """(aln_id, parent, child, is_leaf, blen) by ``infer`` on identity, for (aln_id, seq_id, aseq); leaves are numbered by seq_id from 0.
 
-    Meant for alignments that a task can hold the distances of; filter large ones first.
+    A task holds one alignment's rows and their distances to ``REPS`` of them.
     """
 
     def f(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values("seq_id")
-        e = upgma(distances(encode(t.aseq.tolist())))
+        e = infer(encode(t.aseq.tolist()))
         return pd.DataFrame([(t.aln_id.iloc[0], p, c, c < len(t), b) for p, c, b in e], columns=["aln_id", "parent", "child", "is_leaf", "blen"])
 
     return rows.where("aln_id IS NOT NULL AND aseq IS NOT NULL").select("aln_id", "seq_id", "aseq").groupBy("aln_id").applyInPandas(f, "aln_id string, parent int, child int, is_leaf boolean, blen double")
 
 
+def ancestors(rows: DataFrame) -> DataFrame:
+    """(aln_id, node, parent, blen, seq_id, aseq): every node of an alignment's tree with its residues by parsimony; leaves carry their seq_id, the root no parent."""
+
+    def f(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("seq_id", ignore_index=True)
+        x = encode(t.aseq.tolist())
+        e = infer(x)
+        states = fitch(x, e)[0] if e else x
+        up = {c: (p, b) for p, c, b in e}
+        text = np.frombuffer(b"ACGU-", np.uint8)[states]
+        rows = [(t.aln_id[0], k, up[k][0] if k in up else None, up[k][1] if k in up else None, int(t.seq_id[k]) if k < len(t) else None, text[k].tobytes().decode()) for k in range(len(states))]
+        return pd.DataFrame(rows, columns=["aln_id", "node", "parent", "blen", "seq_id", "aseq"]).astype({"parent": "Int32", "seq_id": "Int64"})
+
+    return rows.where("aln_id IS NOT NULL AND aseq IS NOT NULL").select("aln_id", "seq_id", "aseq").groupBy("aln_id").applyInPandas(f, "aln_id string, node int, parent int, blen double, seq_id long, aseq string")
+
+
+def branch_changes(x: np.ndarray, edges: list[tuple[int, int, float]]) -> tuple[np.ndarray, np.ndarray]:
+    """(change, there) of every branch and column: whether its ends differ, and whether both hold residues."""
+    states = fitch(x, edges)[0]
+    p, c = states[[e[0] for e in edges]], states[[e[1] for e in edges]]
+    there = (p < GAP) & (c < GAP)
+    return (p != c) & there, there
+
+
+def pair_changes(x: np.ndarray, edges: list[tuple[int, int, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(single, double, join): substitutions of each column; branches on which both columns of a pair change, and on which either does, all four ends residues."""
+    if not edges:
+        w = x.shape[1]
+        return np.zeros(w, np.int64), np.zeros((w, w), np.int64), np.zeros((w, w), np.int64)
+    ch, there = (m.astype(np.float32) for m in branch_changes(x, edges))
+    still = there - ch
+    both = ch.T @ ch
+    return ch.sum(0).astype(np.int64), both.astype(np.int64), np.rint(there.T @ there - still.T @ still).astype(np.int64)
+
+
+def column_subs(rows: DataFrame) -> DataFrame:
+    """(aln_id, col, nsubs): substitutions of each column over the branches of the alignment's tree, both ends residues."""
+
+    def f(t: pd.DataFrame) -> pd.DataFrame:
+        x = encode(t.sort_values("seq_id").aseq.tolist())
+        e = infer(x)
+        n = branch_changes(x, e)[0].sum(0) if e else np.zeros(x.shape[1], np.int64)
+        return pd.DataFrame({"aln_id": t.aln_id.iloc[0], "col": np.arange(1, x.shape[1] + 1), "nsubs": n})
+
+    return rows.where("aln_id IS NOT NULL AND aseq IS NOT NULL").select("aln_id", "seq_id", "aseq").groupBy("aln_id").applyInPandas(f, "aln_id string, col int, nsubs long")
+
+
+def clades(edges: DataFrame) -> DataFrame:
+    """(aln_id, node, leaf, dist): the leaves below every inner node and how far they are, from (aln_id, parent, child, is_leaf, blen).
+
+    Children are followed one level a round, and only what has grown goes on.
+    """
+    from strandlake.storage import materialize
+
+    edges = materialize(edges, "edges")
+    step = edges.select("aln_id", F.col("parent").alias("node"), F.col("child").alias("at"), F.col("blen").alias("dist"), "is_leaf")
+    done = []
+    for _ in range(10_000):
+        step = materialize(step, "clades")
+        done.append(step.where("is_leaf").select("aln_id", "node", F.col("at").alias("leaf"), "dist"))
+        inner = step.where("NOT is_leaf")
+        if inner.isEmpty():
+            break
+        step = inner.drop("is_leaf").join(edges.select("aln_id", F.col("parent").alias("at"), "child", "blen", "is_leaf"), ["aln_id", "at"]).select("aln_id", "node", F.col("child").alias("at"), (F.col("dist") + F.col("blen")).alias("dist"), "is_leaf")
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
+
+
+def lowest_common(clade: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(aln_id, a, b, node): the smallest clade that holds both leaves of each pair (aln_id, a, b), the least number of equals."""
+    size = clade.groupBy("aln_id", "node").agg(F.count(F.lit(1)).alias("n"))
+    a = pairs.join(clade.select("aln_id", F.col("leaf").alias("a"), "node"), ["aln_id", "a"])
+    both = a.join(clade.select("aln_id", F.col("leaf").alias("b"), "node"), ["aln_id", "b", "node"]).join(size, ["aln_id", "node"])
+    return both.groupBy("aln_id", "a", "b").agg(F.min(F.struct("n", "node"))["node"].alias("node"))
+
+
+def node_times(clade: DataFrame) -> DataFrame:
+    """(aln_id, node, n_leaves, height): the farthest leaf below every inner node."""
+    return clade.groupBy("aln_id", "node").agg(F.count(F.lit(1)).alias("n_leaves"), F.max("dist").alias("height"))
+
+
+def scale_branches(edges: DataFrame, mode: str = "average", to: float = 1.0) -> DataFrame:
+    """edges with other lengths: multiplied so that their mean is ``to``, all equal to it, or multiplied by it."""
+    if mode == "equal":
+        return edges.withColumn("blen", F.lit(float(to)))
+    if mode == "rescale":
+        return edges.withColumn("blen", F.col("blen") * to)
+    mean = edges.groupBy("aln_id").agg(F.avg("blen").alias("_m"))
+    return edges.join(mean, "aln_id").withColumn("blen", F.when(F.col("_m") > 0, F.col("blen") * to / F.col("_m")).otherwise(F.col("blen"))).drop("_m")
+
+
 def column_changes(rows: DataFrame) -> DataFrame:
     """(aln_id, col, changes): least substitutions of each column on the UPGMA tree."""
 
     def f(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values("seq_id")
         x = encode(t.aseq.tolist())
-        _, ch = fitch(x, upgma(distances(x)))
+        _, ch = fitch(x, infer(x))
         return pd.DataFrame({"aln_id": t.aln_id.iloc[0], "col": np.arange(1, x.shape[1] + 1), "changes": ch})
 
     return rows.where("aln_id IS NOT NULL AND aseq IS NOT NULL").select("aln_id", "seq_id", "aseq").groupBy("aln_id").applyInPandas(f, "aln_id string, col int, changes long")
@@ -199,7 +331,7 @@ def null_rows(rows: DataFrame, reps: int = 1, seed: int = 1) -> DataFrame:
     def f(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values("seq_id", ignore_index=True)
         x = encode(t.aseq.tolist())
-        e = upgma(distances(x))
+        e = infer(x)
         if not e:
             return t[["aln_id", "rep", "seq_id", "aseq"]]
         states, _ = fitch(x, e)
