@@ -24,6 +24,22 @@ def from_atoms(atoms: DataFrame, max_d: float, min_sep: int = 3) -> DataFrame:
     return near.groupBy("aln_id", "i", "j").agg(F.min("d").alias("dist"))
 
 
+def between_chains(atoms: DataFrame, max_d: float) -> DataFrame:
+    """(chain_a, i, chain_b, j, dist): residues of different chains, chain_a the lesser, with a least atom distance below max_d; the same grid join.
+
+    atoms: (chain, resnum, x, y, z).
+    """
+    ok = atoms.where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL AND resnum IS NOT NULL AND chain IS NOT NULL")
+    cell = lambda c: F.floor(F.col(c) / max_d).cast("long")
+    a = ok.select(F.col("chain").alias("chain_a"), F.col("resnum").alias("i"), *(F.col(c).alias(f"{c}1") for c in "xyz"), *(cell(c).alias(f"g{c}") for c in "xyz"))
+    b = ok.select(F.col("chain").alias("chain_b"), F.col("resnum").alias("j"), *(F.col(c).alias(f"{c}2") for c in "xyz"), *(cell(c).alias(f"h{c}") for c in "xyz"))
+    for c in "xyz":
+        b = b.withColumn(f"g{c}", F.explode(F.sequence(F.col(f"h{c}") - 1, F.col(f"h{c}") + 1)))
+    d = F.sqrt(sum(((F.col(f"{c}1") - F.col(f"{c}2")) ** 2 for c in "xyz"), F.lit(0.0)))
+    near = a.join(b, ["gx", "gy", "gz"]).where("chain_a < chain_b").withColumn("d", d).where(F.col("d") < max_d)
+    return near.groupBy("chain_a", "i", "chain_b", "j").agg(F.min("d").alias("dist"))
+
+
 def from_pairs(ct: DataFrame, mind: int = 1) -> DataFrame:
     """(aln_id, i, j, cttype, ispk): pairs at least ``mind`` apart as contacts, once each; layers after the nested one are pseudoknots."""
     d = ct.where(F.col("j") - F.col("i") >= mind)

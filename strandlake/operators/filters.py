@@ -169,14 +169,34 @@ def pb_weights(rows: DataFrame, chunk: int = 2048) -> DataFrame:
     return per.join(tot, "aln_id").select("aln_id", "seq_id", (F.col("s") * F.col("n") / F.col("t")).alias("w"))
 
 
-def pair_identity(cells: DataFrame) -> DataFrame:
-    """(aln_id, a, b, same, ident): columns where two sequences have the same residue, over the smaller residue count."""
-    c = cells.where(F.col("res") < 4).select("aln_id", "seq", "col", "res")
-    n = c.groupBy("aln_id", "seq").agg(F.count(F.lit(1)).alias("n"))
-    by = c.groupBy("aln_id", "seq").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("col", "res")))).alias("m")).join(n, ["aln_id", "seq"])
-    a, b = by.select("aln_id", F.col("seq").alias("a"), F.col("m").alias("ma"), F.col("n").alias("na")), by.select("aln_id", F.col("seq").alias("b"), F.col("m").alias("mb"), F.col("n").alias("nb"))
-    same = F.size(F.array_intersect(F.transform(F.map_entries("ma"), lambda e: e["key"] * 4 + e["value"]), F.transform(F.map_entries("mb"), lambda e: e["key"] * 4 + e["value"])))
-    return a.join(b, "aln_id").where("a < b").select("aln_id", "a", "b", same.cast("long").alias("same"), (same / F.least("na", "nb")).alias("ident"))
+def pair_identity(cells: DataFrame, least: float = 0.0, block: int = 512) -> DataFrame:
+    """(aln_id, a, b, same, ident): columns where two sequences have the same residue, over the smaller residue count.
+
+    Sequences are dealt into blocks of about ``block``, and every two blocks of an alignment are one matrix product, so that a large one
+    spreads over tasks. Pairs below ``least`` stay in their task. Sequences without residues have no pairs.
+    """
+    c = cells.where(F.col("res") < 4).groupBy("aln_id", "seq").agg(F.collect_list(F.col("col") * 4 + F.col("res")).alias("v"))
+    nb = c.groupBy("aln_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nb"))
+    d = c.join(nb, "aln_id").withColumn("at", F.pmod(F.xxhash64("seq"), F.col("nb")).cast("int")).withColumn("o", F.explode(F.expr("sequence(0, nb - 1)")))
+    d = d.select("aln_id", F.least("at", "o").alias("p"), F.greatest("at", "o").alias("q"), "at", "seq", "v")
+
+    def compare(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        p, q, seq, at = t["p"][0].as_py(), t["q"][0].as_py(), t["seq"].to_numpy(), t["at"].to_numpy()
+        v = t["v"].combine_chunks()
+        row, flat = np.repeat(np.arange(len(t)), v.value_lengths().to_numpy()), v.flatten().to_numpy()
+        col, place = np.unique(flat >> 2, return_inverse=True)
+        x = np.full((len(t), len(col)), 4, np.uint8)
+        x[row, place] = flat & 3
+        i, j = (np.arange(len(t)),) * 2 if p == q else (np.flatnonzero(at == p), np.flatnonzero(at == q))
+        same = sum((x[i] == k).astype(np.float32) @ (x[j] == k).astype(np.float32).T for k in range(4))
+        n = (x < 4).sum(1)
+        ident = same.astype(float) / np.minimum(n[i][:, None], n[j])
+        u, w = np.nonzero((ident >= least) & (seq[i][:, None] < seq[j] if p == q else True))
+        a, b = seq[i[u]], seq[j[w]]
+        return pa.table({"aln_id": pa.array([t["aln_id"][0].as_py()] * len(u), pa.string()), "a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b)), "same": pa.array(same[u, w].astype(np.int64)), "ident": pa.array(ident[u, w])})
+
+    return d.groupBy("aln_id", "p", "q").applyInArrow(compare, "aln_id string, a long, b long, same long, ident double")
 
 
 def hamming_weights(ident: DataFrame, seqs: DataFrame, thresh: float = 0.2, inclusive: bool = False) -> DataFrame:
@@ -217,3 +237,58 @@ def shuffle_within_columns(cells: DataFrame, seed: int = 1, reps: int = 1) -> Da
 def shuffle_within_rows(cells: DataFrame, seed: int = 1, reps: int = 1) -> DataFrame:
     """Residues of a sequence dealt anew to its columns; gaps stay."""
     return _permute(cells, "seq", "col", seed, reps)
+
+
+def cluster_weights(clusters: DataFrame) -> DataFrame:
+    """(aln_id, seq, w): every cluster (aln_id, seq, cluster) weighs the same, shared evenly by its members; mean 1 in an alignment."""
+    size = clusters.groupBy("aln_id", "cluster").agg(F.count(F.lit(1)).alias("n"))
+    per = size.groupBy("aln_id").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("k"))
+    return clusters.join(size, ["aln_id", "cluster"]).join(per, "aln_id").select("aln_id", "seq", (F.col("all") / (F.col("k") * F.col("n"))).alias("w"))
+
+
+def paired_composition(rows: DataFrame, ct: DataFrame) -> DataFrame:
+    """(aln_id, paired, n_a, n_c, n_g, n_u): residues in columns that the structure pairs, and in the others."""
+    cols = ct.select("aln_id", F.explode(F.array("i", "j")).alias("col")).distinct().withColumn("paired", F.lit(True))
+    n = column_counts(rows).join(cols, ["aln_id", "col"], "left").groupBy("aln_id", F.coalesce("paired", F.lit(False)).alias("paired"))
+    return n.agg(*(F.sum(F.when(F.col("sym") == ord(x) - 65, F.col("n")).otherwise(0)).alias(f"n_{x.lower()}") for x in "ACGU"))
+
+
+def same_composition(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(aln_id, same) for two lists of rows: whether both have each residue equally often; null where one lacks the alignment."""
+    names = [f"n_{x}" for x in ("a", "c", "g", "u", "other")]
+    x, y = base_composition(a), base_composition(b).withColumnsRenamed({n: f"{n}_b" for n in names})
+    equal = F.lit(True)
+    for n in names:
+        equal = equal & (F.col(n) == F.col(f"{n}_b"))
+    return x.join(y, "aln_id", "full").select("aln_id", equal.alias("same"))
+
+
+def without_gaps_if_single(rows: DataFrame) -> DataFrame:
+    """The row of an alignment of one row without its gaps and missing data; other rows as they are."""
+    n = rows.groupBy("aln_id").agg(F.count(F.lit(1)).alias("_n"))
+    return rows.join(n, "aln_id").withColumn("aseq", F.when(F.col("_n") == 1, F.regexp_replace("aseq", "[-._~]", "")).otherwise(F.col("aseq"))).drop("_n")
+
+
+def reordered(rows: DataFrame, *order: Column) -> DataFrame:
+    """rows with ``seq_idx``, from 0 in each alignment in the order given and then of seq_id."""
+    return rows.withColumn("seq_idx", F.row_number().over(W.partitionBy("aln_id").orderBy(*order, "seq_id")) - 1)
+
+
+def window_columns(kept: DataFrame, spans: DataFrame) -> DataFrame:
+    """(aln_id, window, col): the kept columns of every window; a column looks up its windows by number, without a range join."""
+    first = spans.groupBy("aln_id").agg(F.map_from_entries(F.collect_list(F.struct("window", F.struct("first", "last").alias("s")))).alias("w"))
+    d = kept.join(first, "aln_id").select("aln_id", "col", F.explode(F.map_entries("w")).alias("e"))
+    return d.where((F.col("col") >= F.col("e.value.first")) & (F.col("col") <= F.col("e.value.last"))).select("aln_id", F.col("e.key").alias("window"), "col")
+
+
+def homology_counts(reference: DataFrame, inferred: DataFrame) -> DataFrame:
+    """(aln_id, n_ref, n_inf, n_both): residues written as homologous (upper case) in the reference, in the inferred rows, and in both.
+
+    Rows (aln_id, seq_id, aseq) of both hold the same residues; a residue is known by its place among its row's letters.
+    """
+    def case(rows, name):
+        t = F.regexp_replace("aseq", "[^A-Za-z]", "")
+        return rows.where("aseq IS NOT NULL").select("aln_id", "seq_id", F.posexplode(F.filter(F.split(t, ""), lambda c: c != "")).alias("pos", "c")).select("aln_id", "seq_id", "pos", (F.col("c") == F.upper("c")).alias(name))
+
+    j = case(reference, "r").join(case(inferred, "f"), ["aln_id", "seq_id", "pos"])
+    return j.groupBy("aln_id").agg(F.sum(F.col("r").cast("long")).alias("n_ref"), F.sum(F.col("f").cast("long")).alias("n_inf"), F.sum((F.col("r") & F.col("f")).cast("long")).alias("n_both"))

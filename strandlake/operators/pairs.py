@@ -259,3 +259,29 @@ def correct(cov: DataFrame, *values: str, shift: bool = False) -> DataFrame:
         low = d.groupBy("aln_id").agg(*(F.min(n).alias(f"_{n}") for n in names))
         d = d.join(low, "aln_id").withColumns({n: F.col(n) - F.col(f"_{n}") for n in names}).drop(*(f"_{n}" for n in names))
     return d
+
+
+def joint_with_gaps(counts: DataFrame, cells: DataFrame, prior: float = PRIOR) -> DataFrame:
+    """(aln_id, i, j, p): joint probabilities over residues and the gap as a fifth letter, in the array p at 5x+y.
+
+    A residue opposite a gap is what its column's count leaves after all residues opposite it, so nothing is counted again.
+    """
+    n = cells.where(F.col("res").between(0, K - 1)).groupBy("aln_id", "col").agg(*(F.sum((F.col("res") == x).cast("double")).alias(f"n{x}") for x in range(K)))
+    d = counts
+    for end in "ij":
+        d = d.join(n.select("aln_id", F.col("col").alias(end), F.array(*(f"n{x}" for x in range(K))).alias(f"n_{end}")), ["aln_id", end], "left")
+        d = d.withColumn(f"n_{end}", F.coalesce(f"n_{end}", F.array_repeat(F.lit(0.0), K)))
+    w = F.col("w")
+    left = [F.col("n_i")[x] - reduce(add, (w[4 * x + y] for y in range(K))) for x in range(K)]
+    right = [F.col("n_j")[y] - reduce(add, (w[4 * x + y] for x in range(K))) for y in range(K)]
+    none = F.col("total") - _sum(F.col("n_i")) - reduce(add, right)
+    c = [x for a in range(K) for x in (*(w[4 * a + b] for b in range(K)), left[a])] + [*right, none]
+    return d.select("aln_id", "i", "j", F.transform(F.array(*c), lambda v: (v + prior) / (F.col("total") + 25 * prior)).alias("p"))
+
+
+def composition(counts: DataFrame) -> DataFrame:
+    """(aln_id, i, j, wcf, wobble, noncan, nseff_pct): shares of Watson-Crick, wobble and other pairs, and of the sequences with residues at both ends, in percent."""
+    d = counts.withColumn("nseff", _sum(F.col("w")))
+    part = lambda sums: F.when(F.col("nseff") > 0, reduce(add, (F.col("w")[4 * x + y] for x, y in sums)) / F.col("nseff")).otherwise(0.0)
+    d = d.withColumn("wcf", part([c for c in CELLS if c[0] + c[1] == 3])).withColumn("wobble", part([c for c in CELLS if c[0] + c[1] == 5]))
+    return d.select("aln_id", "i", "j", "wcf", "wobble", (1 - F.col("wcf") - F.col("wobble")).alias("noncan"), F.when(F.col("total") > 0, 100 * F.col("nseff") / F.col("total")).otherwise(0.0).alias("nseff_pct"))

@@ -92,3 +92,30 @@ def fisher_exact(a: int, b: int, c: int, d: int) -> float:
     r, s, n = a + b, a + c, a + b + c + d
     base = lf(r) + lf(n - r) + lf(s) + lf(n - s) - lf(n)
     return min(1.0, sum(exp(base - lf(k) - lf(r - k) - lf(s - k) - lf(n - r - s + k)) for k in range(a, min(r, s) + 1) if n - r - s + k >= 0))
+
+
+def random_pairs(widths: DataFrame, n: int, seed: int = 1) -> DataFrame:
+    """(aln_id, k, i, j): n pairs i < j of different columns of each alignment (aln_id, alen) of two columns or more, by hashes, the same on every run."""
+    d = widths.where("alen >= 2").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    draw = lambda x: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.lit(x), "aln_id", "k")), 1, 8), 16, 10).cast("long")
+    d = d.withColumn("a", F.pmod(draw("a"), F.col("alen")) + 1).withColumn("s", F.pmod(draw("b"), F.col("alen") - 1) + 1)
+    d = d.withColumn("b", F.pmod(F.col("a") - 1 + F.col("s"), F.col("alen")) + 1)
+    return d.select("aln_id", "k", F.least("a", "b").cast("int").alias("i"), F.greatest("a", "b").cast("int").alias("j"))
+
+
+def score_split(marked: DataFrame) -> DataFrame:
+    """(kind, n, mean, sd, top) of scores by mark: `*`, `**` and `c` are pairs, all others are not; population sd, never below 0."""
+    kind = F.when(F.col("mark").isin("*", "**", "c"), "pair").otherwise("other")
+    return marked.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("sd"), F.max("score").alias("top"))
+
+
+def histogram_median(hist: DataFrame, k: int) -> DataFrame:
+    """(median): the middle of the last bin of ``value_histogram`` at which at most half lies at or below; null where the first holds more."""
+    return hist.where("upto <= 0.5").agg(((F.max("bin") + 0.5) / k).alias("median"))
+
+
+def pair_summary(helices: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(aln_id, n_pairs, n_columns, n_helices, mean_pairs, sd_pairs): size of a structure and of its helices."""
+    h = helices.groupBy("aln_id").agg(F.count(F.lit(1)).alias("n_helices"), F.avg("n_pairs").alias("mean_pairs"), F.coalesce(F.stddev_samp("n_pairs"), F.lit(0.0)).alias("sd_pairs"))
+    p = pairs.select("aln_id", F.explode(F.array("i", "j")).alias("c")).groupBy("aln_id").agg((F.count(F.lit(1)) / 2).cast("long").alias("n_pairs"), F.countDistinct("c").alias("n_columns"))
+    return p.join(h, "aln_id").select("aln_id", "n_pairs", "n_columns", "n_helices", "mean_pairs", "sd_pairs")

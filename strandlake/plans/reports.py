@@ -32,7 +32,7 @@ def motif_stats(spark, sf_dir) -> DataFrame:
     """Helices by molecule type and size, with totals."""
     kind = F.coalesce(F.upper(F.trim("msa_type")), F.lit("?"))
     a = once(table(spark, sf_dir, "alignments").withColumn("kind", kind), "aln_id", "kind")
-    return R.motif_stats(T.helices(_ct(spark, sf_dir).where("layer = 'nested'"), 2).join(a, "aln_id"))
+    return R.motif_stats(T.helices(_ct(spark, sf_dir), 2).join(a, "aln_id"))
 
 
 def apparent_covariation(spark, sf_dir) -> DataFrame:
@@ -59,7 +59,7 @@ def length_regression(spark, sf_dir) -> DataFrame:
 
 def structure_comparison(spark, sf_dir) -> DataFrame:
     """Consensus structures next to the same without the pairs closer than 12 columns."""
-    ct = _ct(spark, sf_dir).where("layer = 'nested'")
+    ct = _ct(spark, sf_dir)
     return R.compare_structures(ct, ct.where("j - i >= 12"))
 
 
@@ -126,9 +126,9 @@ def simulated(spark, sf_dir) -> DataFrame:
 QUERIES = {f.__name__: f for f in (family_ranks, motif_stats, apparent_covariation, clipped_hits, score_histogram, length_regression, structure_comparison, fasta_again, stockholm_again, tree_changes, tree_null, distinct_rows, identity_clusters, joint_substitutions, potts_scores, simulated)}
 
 _HITS = "h AS (SELECT hit_id, min(queryname) AS queryname, min(sqfrom) AS sqfrom, min(sqto) AS sqto, min(CASE WHEN isnan(sc) THEN NULL ELSE sc END) AS sc FROM domain_hits WHERE hit_id IS NOT NULL GROUP BY 1)"
-_HELIX = _CT + """, l AS (SELECT *, lag(i) OVER w AS pi, lag(j) OVER w AS pj FROM ct WINDOW w AS (PARTITION BY aln_id ORDER BY i)),
-hx AS (SELECT *, sum(CASE WHEN pi IS NULL OR pj <= j OR i - pi - 1 + pj - j - 1 > 2 THEN 1 ELSE 0 END) OVER (PARTITION BY aln_id ORDER BY i) AS helix FROM l),
-he AS (SELECT aln_id, helix, count(*) AS n FROM hx GROUP BY 1, 2), ty AS (SELECT aln_id, min(coalesce(upper(trim(msa_type)), '?')) AS kind FROM alignments WHERE aln_id IS NOT NULL GROUP BY 1)"""
+_HELIX = _CT + """, l AS (SELECT *, lag(i) OVER w AS pi, lag(j) OVER w AS pj FROM ct WINDOW w AS (PARTITION BY aln_id, layer ORDER BY i)),
+hx AS (SELECT *, sum(CASE WHEN pi IS NULL OR pj <= j OR i - pi - 1 + pj - j - 1 > 2 THEN 1 ELSE 0 END) OVER (PARTITION BY aln_id, layer ORDER BY i) AS helix FROM l),
+he AS (SELECT aln_id, layer, helix, count(*) AS n FROM hx GROUP BY 1, 2, 3), ty AS (SELECT aln_id, min(coalesce(upper(trim(msa_type)), '?')) AS kind FROM alignments WHERE aln_id IS NOT NULL GROUP BY 1)"""
 ORACLE = {
     "family_ranks": _E + f""", g AS (SELECT aln_id AS family, count(*) FILTER (WHERE evalue < 5) AS found, count(*) FILTER (WHERE is_bp) AS "true", count(*) FILTER (WHERE is_bp AND evalue < 5) AS tp FROM ev GROUP BY 1), q AS (SELECT *, {_SP} FROM g)
 SELECT family, CAST(floor(sen * 100 + 1e-9) / 100 AS DOUBLE) AS sen, CAST(floor(ppv * 100 + 1e-9) / 100 AS DOUBLE) AS ppv, CASE WHEN ppv > 95 THEN 'high' WHEN ppv > 50 THEN 'middle' ELSE 'low' END AS band, CAST(row_number() OVER (ORDER BY sen DESC, "true" DESC, family) AS INTEGER) AS rank FROM q""",

@@ -185,8 +185,12 @@ def pair_power(spark, sf_dir) -> DataFrame:
 
 
 def power_summary(spark, sf_dir) -> DataFrame:
-    d = hairpin(_powers(spark, sf_dir)).join(_powers(spark, sf_dir), ["aln_id", "i", "j"]).withColumn("evalue", F.lit(1.0))
-    s = PW.power_summary(d)
+    """Expected and observed covarying pairs among the vectors' base pairs."""
+    c = pseudo.embeddings_cells(spark, sf_dir)
+    n = PW.column_subs(PW.branches(c, PW.rank_tree(c)))
+    ev = _evalues(spark, sf_dir).where("is_bp").join(n.select("aln_id", F.col("col").alias("i"), F.col("nsubs").alias("si")), ["aln_id", "i"]).join(n.select("aln_id", F.col("col").alias("j"), F.col("nsubs").alias("sj")), ["aln_id", "j"])
+    d = ev.withColumn("nsubs", F.col("si") + F.col("sj"))
+    s = PW.power_summary(d.withColumn("power", PW.lookup(d, "nsubs", CURVE)))
     return s.select("aln_id", "n_bp", *(rnd(F.col(c)).alias(c) for c in ("expected", "sd", "mean_subs")), "observed")
 
 
@@ -256,5 +260,9 @@ SELECT aln_id, i, j, {O.r("least(zi, zj)", "z", 5)} FROM z""",
     "column_subs": _BR + " SELECT aln_id, col, nsubs FROM cs",
     "pair_subs": _BR + ' SELECT a.aln_id, a.col AS i, b.col AS j, CAST(count(*) FILTER (WHERE a.ch AND b.ch) AS BIGINT) AS "double", CAST(count(*) FILTER (WHERE a.ch OR b.ch) AS BIGINT) AS "join" FROM br a JOIN br b ON a.aln_id = b.aln_id AND a.k = b.k AND a.col < b.col GROUP BY 1, 2, 3',
     "pair_power": _BR + " SELECT aln_id, i, j, nsubs, power FROM po",
-    "power_summary": _BR + f" SELECT aln_id, count(*) AS n_bp, {O.r('sum(power)', 'expected')}, {O.r('sqrt(sum(power * (1 - power)))', 'sd')}, {O.r('avg(nsubs)', 'mean_subs')}, CAST(0 AS BIGINT) AS observed FROM po JOIN (SELECT aln_id, max(j) AS l FROM po GROUP BY 1) m USING (aln_id) WHERE i + j = l + 1 GROUP BY 1",
+    "power_summary": _E + f""", tr AS (SELECT aln_id, seq, row_number() OVER (PARTITION BY aln_id ORDER BY seq) AS k FROM (SELECT DISTINCT aln_id, seq FROM base)),
+cc AS (SELECT c.aln_id, k, col, res FROM base c JOIN tr ON tr.aln_id = c.aln_id AND tr.seq = c.seq WHERE res < 4),
+cs AS (SELECT a.aln_id, a.col, sum(CASE WHEN b.res <> a.res THEN 1 ELSE 0 END) AS n FROM cc a JOIN cc b ON a.aln_id = b.aln_id AND a.col = b.col AND b.k = a.k // 2 WHERE a.k >= 2 GROUP BY 1, 2),
+po AS (SELECT ev.aln_id, evalue, x.n + y.n AS nsubs, CAST(CASE WHEN x.n + y.n > 20 THEN 0.9 WHEN x.n + y.n > 10 THEN 0.5 WHEN x.n + y.n > 5 THEN 0.1 ELSE 0 END AS DOUBLE) AS power FROM ev JOIN cs x ON x.aln_id = ev.aln_id AND x.col = ev.i JOIN cs y ON y.aln_id = ev.aln_id AND y.col = ev.j WHERE is_bp)
+SELECT aln_id, count(*) AS n_bp, {O.r('sum(power)', 'expected')}, {O.r('sqrt(sum(power * (1 - power)))', 'sd')}, {O.r('avg(nsubs)', 'mean_subs')}, count(*) FILTER (WHERE evalue < 0.05) AS observed FROM po GROUP BY 1""",
 }

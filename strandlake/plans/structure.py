@@ -20,15 +20,15 @@ def _ct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def wuss_pairs(spark, sf_dir) -> DataFrame:
     """Pairs of every consensus structure."""
-    return _ct(spark, sf_dir).where("layer = 'nested'").select("aln_id", "i", "j")
+    return _ct(spark, sf_dir)
 
 
 def helices(spark, sf_dir) -> DataFrame:
-    return T.helices(_ct(spark, sf_dir).where("layer = 'nested'"), 2).drop("layer")
+    return T.helices(_ct(spark, sf_dir), 2)
 
 
 def contacts_ct(spark, sf_dir) -> DataFrame:
-    return C.from_pairs(_ct(spark, sf_dir).where("layer = 'nested'"), 5)
+    return C.from_pairs(_ct(spark, sf_dir), 5)
 
 
 def wuss_again(spark, sf_dir) -> DataFrame:
@@ -60,16 +60,16 @@ QUERIES = {f.__name__: f for f in (wuss_pairs, helices, contacts_ct, wuss_again,
 
 _CT = """WITH a AS (SELECT aln_id, min(ss_cons) AS ss FROM alignments WHERE aln_id IS NOT NULL GROUP BY 1),
 ch AS (SELECT aln_id, k, ss[k] AS c FROM a, LATERAL (SELECT unnest(range(1, length(ss) + 1)) AS k)),
-kd AS (SELECT *, CASE WHEN c IN ('<', '>') THEN 1 WHEN c IN ('(', ')') THEN 2 WHEN c IN ('[', ']') THEN 3 ELSE 4 END AS kind, c IN ('<', '(', '[', '{') AS op FROM ch WHERE c IN ('<', '>', '(', ')', '[', ']', '{', '}')),
+kd AS (SELECT *, CASE WHEN c IN ('<', '>') THEN '1' WHEN c IN ('(', ')') THEN '2' WHEN c IN ('[', ']') THEN '3' WHEN c IN ('{', '}') THEN '4' ELSE upper(c) END AS kind, c IN ('<', '(', '[', '{') OR c BETWEEN 'A' AND 'Z' AS op FROM ch WHERE regexp_matches(c, '^[<>(){}A-Za-z]$') OR c IN ('[', ']')),
 dp AS (SELECT *, sum(CASE WHEN op THEN 1 ELSE -1 END) OVER (PARTITION BY aln_id, kind ORDER BY k) + CASE WHEN op THEN 0 ELSE 1 END AS d FROM kd),
 rn AS (SELECT *, row_number() OVER (PARTITION BY aln_id, kind, d, op ORDER BY k) AS r FROM dp),
-ct AS (SELECT o.aln_id, CAST(o.k AS INTEGER) AS i, CAST(c.k AS INTEGER) AS j FROM rn o JOIN rn c ON o.aln_id = c.aln_id AND o.kind = c.kind AND o.d = c.d AND o.r = c.r AND o.op AND NOT c.op)"""
+ct AS (SELECT o.aln_id, CASE WHEN o.kind < 'A' THEN 'nested' ELSE 'pk' || o.kind END AS layer, CAST(o.k AS INTEGER) AS i, CAST(c.k AS INTEGER) AS j FROM rn o JOIN rn c ON o.aln_id = c.aln_id AND o.kind = c.kind AND o.d = c.d AND o.r = c.r AND o.op AND NOT c.op)"""
 ORACLE = {
     "wuss_pairs": _CT + " SELECT * FROM ct",
-    "helices": _CT + """, l AS (SELECT *, lag(i) OVER w AS pi, lag(j) OVER w AS pj FROM ct WINDOW w AS (PARTITION BY aln_id ORDER BY i)),
-h AS (SELECT *, sum(CASE WHEN pi IS NULL OR pj <= j OR i - pi - 1 + pj - j - 1 > 2 THEN 1 ELSE 0 END) OVER (PARTITION BY aln_id ORDER BY i) AS helix FROM l)
-SELECT aln_id, CAST(helix AS INTEGER) AS helix, count(*) AS n_pairs, min(i) AS i_out, max(j) AS j_out, max(i) AS i_in, min(j) AS j_in FROM h GROUP BY aln_id, helix""",
-    "contacts_ct": _CT + " SELECT aln_id, i, j, 'WWc' AS cttype, false AS ispk FROM ct WHERE j - i >= 5",
+    "helices": _CT + """, l AS (SELECT *, lag(i) OVER w AS pi, lag(j) OVER w AS pj FROM ct WINDOW w AS (PARTITION BY aln_id, layer ORDER BY i)),
+h AS (SELECT *, sum(CASE WHEN pi IS NULL OR pj <= j OR i - pi - 1 + pj - j - 1 > 2 THEN 1 ELSE 0 END) OVER (PARTITION BY aln_id, layer ORDER BY i) AS helix FROM l)
+SELECT aln_id, layer, CAST(helix AS INTEGER) AS helix, count(*) AS n_pairs, min(i) AS i_out, max(j) AS j_out, max(i) AS i_in, min(j) AS j_in FROM h GROUP BY aln_id, layer, helix""",
+    "contacts_ct": _CT + " SELECT aln_id, i, j, 'WWc' AS cttype, min(layer) <> 'nested' AS ispk FROM ct WHERE j - i >= 5 GROUP BY 1, 2, 3",
     "wuss_again": "SELECT aln_id, regexp_replace(regexp_replace(regexp_replace(min(ss_cons), '[(\\[{]', '<', 'g'), '[)\\]}]', '>', 'g'), '[^<>A-Za-z]', ':', 'g') AS ss FROM alignments WHERE aln_id IS NOT NULL GROUP BY aln_id HAVING min(ss_cons) IS NOT NULL",
     "contacts_3d": f"""WITH t AS (SELECT 'L' || label AS aln_id, CAST(vec_id // 10 AS INTEGER) AS r, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings),
 d AS (SELECT a.aln_id, a.r AS i, b.r AS j, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS d FROM t a JOIN t b ON a.aln_id = b.aln_id AND b.r - a.r + 1 > 3)

@@ -112,12 +112,22 @@ def read_domains(spark: SparkSession, path: str) -> DataFrame:
     return d.select(f[0].alias("target"), f[3].alias("query"), f[12].cast("double").alias("evalue"), f[13].cast("double").alias("score"), *(f[k].cast("int").alias(n) for k, n in ((15, "hmm_from"), (16, "hmm_to"), (17, "ali_from"), (18, "ali_to"))))
 
 
+def write_hits(hits: DataFrame, path: str) -> None:
+    """A report of (aln_id, mark, left_pos, right_pos, score, evalue), sorted: a line names the alignment, its pairs follow by falling score, equal ones by position."""
+    head = hits.select("aln_id").distinct().select("aln_id", F.lit(0).alias("o"), F.lit(None).cast("double").alias("score"), F.lit(0).alias("left_pos"), F.lit(0).alias("right_pos"), F.concat(F.lit("# MSA "), "aln_id").alias("value"))
+    line = F.concat_ws("\t", "mark", F.col("left_pos").cast("string"), F.col("right_pos").cast("string"), F.col("score").cast("string"), F.col("evalue").cast("string"))
+    body = hits.select("aln_id", F.lit(1).alias("o"), "score", "left_pos", "right_pos", line.alias("value"))
+    # one alignment's lines stay together in one file, as the reader expects; the range is by alignment alone
+    d = head.unionByName(body).repartitionByRange("aln_id").sortWithinPartitions("aln_id", "o", F.desc("score"), "left_pos", "right_pos")
+    d.select("value").write.text(path)
+
+
 def read_hits(spark: SparkSession, path: str) -> DataFrame:
     """Significant-pair reports: (family, mark, left_pos, right_pos, score, evalue), the family taken from the comment line above."""
     d = spark.read.text(path).withColumn("n", F.monotonically_increasing_id()).withColumn("file", F.input_file_name())
     fam = F.when(F.col("value").rlike(r"^#\s*MSA\s"), F.regexp_extract("value", r"^#\s*MSA\s+(\S+)", 1))
     d = d.withColumn("family", F.last(fam, True).over(W.partitionBy("file").orderBy("n")))
-    line = r"^\s*(\*{0,2}|c?~?)\s*(\d+)\s+(\d+)\s+([-+0-9.eE]+)\s+([-+0-9.eE]+)"
+    line = r"^\s*(\*{1,2}|c?~?)\s*(\d+)\s+(\d+)\s+([-+0-9.eE]+)\s+([-+0-9.eE]+)"
     d = d.where(~F.col("value").startswith("#") & F.col("value").rlike(line))
     g = lambda k: F.regexp_extract("value", line, k)
     return d.select("family", g(1).alias("mark"), g(2).cast("int").alias("left_pos"), g(3).cast("int").alias("right_pos"), g(4).cast("double").alias("score"), g(5).cast("double").alias("evalue"))
