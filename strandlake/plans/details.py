@@ -240,7 +240,7 @@ def hits_again(spark, sf_dir) -> DataFrame:
     path = new_path(spark, "report")
     h = S.hits(_evalues(spark, sf_dir), 5.0).select("aln_id", F.when(F.col("is_bp"), "*").otherwise(" ").alias("mark"), F.col("i").alias("left_pos"), F.col("j").alias("right_pos"), "score", "evalue")
     ST.write_hits(h, path)
-    return ST.read_hits(spark, path).select("family", F.trim("mark").alias("mark"), "left_pos", "right_pos", rnd(F.col("score"), 5).alias("score"), rnd(F.col("evalue"), 4).alias("evalue"))
+    return ST.read_hits(spark, path).select("family", F.trim("mark").alias("mark"), "left_pos", "right_pos", rnd(F.col("score")).alias("score"), rnd(F.col("evalue"), 4).alias("evalue"))
 
 
 def whole_motif(spark, sf_dir) -> DataFrame:
@@ -312,7 +312,7 @@ SELECT aln_id, CAST(k AS INTEGER) AS k, CAST(least(a, b) AS INTEGER) AS i, CAST(
 SELECT p.aln_id, CAST(n_pairs AS BIGINT) AS n_pairs, n_columns, n_helices, {O.r('m', 'mean_pairs')}, {O.r('sd', 'sd_pairs')} FROM p JOIN h ON h.aln_id = p.aln_id""",
     "contacts_between": f"""WITH t AS (SELECT label AS c, CAST(vec_id // 10 AS INTEGER) AS r, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings),
 d AS (SELECT a.c AS chain_a, a.r AS i, b.c AS chain_b, b.r AS j, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS d FROM t a JOIN t b ON a.c < b.c) SELECT chain_a, i, chain_b, j, {O.r('min(d)', 'dist', 7)} FROM d WHERE d < 0.04 GROUP BY 1, 2, 3, 4""",
-    "hits_again": _E + f" SELECT aln_id AS family, CASE WHEN is_bp THEN '*' ELSE '' END AS mark, i AS left_pos, j AS right_pos, {O.r('score', 'score', 5)}, {O.r('evalue', 'evalue', 4)} FROM ev WHERE evalue < 5",
+    "hits_again": _E + f" SELECT aln_id AS family, CASE WHEN is_bp THEN '*' ELSE '' END AS mark, i AS left_pos, j AS right_pos, {O.r("score", "score")}, {O.r("evalue", "evalue", 4)} FROM ev WHERE evalue < 5",
     "whole_motif": _HLX.replace("WITH ", f"WITH {_R}", 1) + ", lp AS (SELECT r.aln_id, layer, helix, replace(upper(substr(aseq, i_in + 1, 4)), 'T', 'U') AS s FROM rows r JOIN he ON he.aln_id = r.aln_id WHERE j_in - i_in = 5) SELECT aln_id, layer, CAST(helix AS INTEGER) AS helix, count(*) AS n_rows FROM lp WHERE regexp_matches(s, '^G[ACGU][AG]A$') GROUP BY 1, 2, 3",
 }
 for _name, _l1, _tail, _sn, _lx, _s1, _f1 in (("inside_g6", "0.7", "", "0.6 * nsplit + 0.4 * (nl)", "", "0.4 * 0.7", "0"), ("inside_g6x", "0.7", " + nl * 0.4", "0.6 * nsplit", " + CASE WHEN n = 1 THEN 0.1 ELSE 0 END", "0.6 * 0.7 * 0.4", "0.4 * 0.7 * 0.4")):
