@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions.sequences import identity_threshold
-from strandlake.storage import materialize
+from strandlake.storage import materialize, release
 from strandlake.tables import once
 
 _CODE = np.full(256, 0, np.uint8)
@@ -195,7 +195,9 @@ def _select(cand: DataFrame, group: str, part: int) -> DataFrame:
         out = c.groupBy(group, "part").applyInPandas(lambda k, t: pick(t.drop(columns=["np", "part"])), schema)
         if last:
             return out
-        cand = materialize(out.drop("pick_no"), "coresets")
+        former, cand = cand, materialize(out.drop("pick_no"), "coresets")
+        if level:
+            release(former)
     raise RuntimeError("core-sets did not shrink")
 
 

@@ -7,6 +7,7 @@ opened, their documents exchanged between partitions, and packed again.
 
 from __future__ import annotations
 
+import os
 from collections import defaultdict
 
 import numpy as np
@@ -73,11 +74,11 @@ def lower_bound(sizes: np.ndarray, capacity: int) -> int:
     return best
 
 
-def _count(tokenizer: str):
+def _count(vocabulary):
     def run(batches):
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(tokenizer)
+        t = Tokenizer.from_str(vocabulary.value)
         t.encode_special_tokens = True
         for b in batches:
             texts, n = b.column(1).to_pylist(), []
@@ -95,9 +96,16 @@ def _count(tokenizer: str):
 
 
 def token_counts(docs: DataFrame, doc: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, tokens): whole texts in tokens of a public tokenizer; a null text has none."""
+    """(doc_id, tokens): whole texts in tokens of a public tokenizer; a null text has none.
+
+    ``tokenizer`` is a vocabulary file that the driver can read, of at most 64 MB; executors get its content, not its path.
+    """
+    if os.path.getsize(tokenizer) > 64 << 20:
+        raise ValueError("the vocabulary file is larger than 64 MB")
+    with open(tokenizer, encoding="utf-8") as f:
+        vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
     d = docs.select(F.col(doc).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t")).where("doc_id IS NOT NULL")
-    return d.mapInArrow(_count(tokenizer), "doc_id long, tokens long").groupBy("doc_id").agg(F.min("tokens").alias("tokens"))
+    return d.mapInArrow(_count(vocabulary), "doc_id long, tokens long").groupBy("doc_id").agg(F.min("tokens").alias("tokens"))
 
 
 def _packer(r: int, capacity: int, full: float):
