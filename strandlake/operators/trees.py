@@ -347,17 +347,18 @@ def clusters(ident: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
 
     Each round takes the least label of neighbours and then the label's own label, so chains shrink fast.
     """
-    from strandlake.storage import materialize
+    from strandlake.storage import materialize, release
 
     near = ident.where(F.col("ident") >= threshold)
     edges = materialize(near.select("aln_id", F.col("a").alias("u"), F.col("b").alias("v")).unionByName(near.select("aln_id", F.col("b").alias("u"), F.col("a").alias("v"))), "edges")
-    lab = materialize(seqs.select("aln_id", "seq", F.col("seq").alias("cluster")), "labels")
+    former = lab = materialize(seqs.select("aln_id", "seq", F.col("seq").alias("cluster")), "labels")
     for _ in range(64):
         least = edges.join(lab.select("aln_id", F.col("seq").alias("v"), F.col("cluster").alias("c")), ["aln_id", "v"]).groupBy("aln_id", F.col("u").alias("seq")).agg(F.min("c").alias("c"))
         step = lab.join(least, ["aln_id", "seq"], "left").select("aln_id", "seq", "cluster", F.least("cluster", F.coalesce("c", "cluster")).alias("n"))
         jump = step.join(lab.select("aln_id", F.col("seq").alias("n"), F.col("cluster").alias("m")), ["aln_id", "n"]).select("aln_id", "seq", F.least("n", "m").alias("cluster"), (F.least("n", "m") < F.col("cluster")).alias("moved"))
         nxt = materialize(jump, "labels")
-        lab = nxt.drop("moved")
+        release(former)
+        former, lab = nxt, nxt.drop("moved")
         if nxt.where("moved").isEmpty():
             return lab
     raise RuntimeError("labels did not settle")
