@@ -98,8 +98,8 @@ def tree_null(spark, sf_dir) -> DataFrame:
 
 
 def distinct_rows(spark, sf_dir) -> DataFrame:
-    """Rows kept by a greedy identity filter of one half."""
-    return trees.max_identity(_strings(spark, sf_dir), 0.5)
+    """Rows kept by a greedy identity filter of two fifths."""
+    return trees.max_identity(_strings(spark, sf_dir), 0.4)
 
 
 def identity_clusters(spark, sf_dir) -> DataFrame:
@@ -150,6 +150,9 @@ SELECT queryname, {O.r("CASE WHEN count(*) > 2 AND min(len) < max(len) THEN regr
     "stockholm_again": f"WITH {_ROWS} SELECT aln_id, seq_id, aseq FROM rows WHERE length(aseq) > 0",
     "identity_clusters": f"""WITH RECURSIVE {O.CELLS["events"]}, {_IDENT}, e AS (SELECT aln_id, a AS u, b AS v FROM ident WHERE same / m >= 0.5 UNION ALL SELECT aln_id, b, a FROM ident WHERE same / m >= 0.5),
 r AS (SELECT DISTINCT aln_id, seq, seq AS c FROM cells UNION SELECT r.aln_id, r.seq, e.v FROM r JOIN e ON e.aln_id = r.aln_id AND e.u = r.c) SELECT aln_id, seq, min(c) AS cluster FROM r GROUP BY 1, 2""",
+    "distinct_rows": f"""WITH RECURSIVE {O.CELLS["embeddings"]}, {_IDENT}, nb AS (SELECT aln_id, b, list(a) AS l FROM ident WHERE same / m >= CAST(0.4 AS DOUBLE) GROUP BY 1, 2), s AS (SELECT aln_id, seq, row_number() OVER (PARTITION BY aln_id ORDER BY seq) AS k FROM (SELECT DISTINCT aln_id, seq FROM cells)),
+g AS (SELECT DISTINCT aln_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept FROM s UNION ALL SELECT g.aln_id, s.k, CASE WHEN list_has_any(kept, coalesce(nb.l, CAST([] AS BIGINT[]))) THEN kept ELSE list_append(kept, s.seq) END FROM g JOIN s ON s.aln_id = g.aln_id AND s.k = g.k + 1 LEFT JOIN nb ON nb.aln_id = s.aln_id AND nb.b = s.seq)
+SELECT aln_id, unnest(kept) AS seq_id FROM (SELECT aln_id, arg_max(kept, k) AS kept FROM g GROUP BY 1)""",
     "joint_substitutions": f"""WITH {O.CELLS["embeddings"]}, {_IDENT}, p AS (SELECT aln_id, a, b FROM ident WHERE same / m >= CAST(0.4 AS DOUBLE)), o AS (SELECT c.res AS a, d.res AS b, count(*) AS n FROM p JOIN cells c ON c.aln_id = p.aln_id AND c.seq = p.a JOIN cells d ON d.aln_id = p.aln_id AND d.seq = p.b AND d.col = c.col GROUP BY 1, 2)
 SELECT CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, CAST(sum(n) / 2 AS DOUBLE) AS n FROM (SELECT a, b, n FROM o UNION ALL SELECT b, a, n FROM o) GROUP BY 1, 2""",
 }
