@@ -79,9 +79,9 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     model = train_on(docs, table(spark, sf_dir, "doc_labels"), table(spark, sf_dir, "subject_areas"))
-    n = docs.agg(F.countDistinct("doc_id").alias("n_all"))
+    n = docs.agg(F.countDistinct("doc_id").alias("n")).first()["n"]
     got = classify(docs, model).groupBy("subject").agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.avg("share"), 4).alias("mean_share_where_assigned"))
-    return got.join(F.broadcast(n)).select("subject", "n_docs", F.round(F.col("n_docs") / F.col("n_all"), 6).alias("part_of_docs"), "mean_share_where_assigned")  # n is one row
+    return got.select("subject", "n_docs", F.round(F.col("n_docs") / F.lit(n), 6).alias("part_of_docs"), "mean_share_where_assigned")
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_chosen": p4_chosen, "p6_packed": p6_packed, "p6_certificates": p6_certificates, "p7_found": p7_found, "p8_found": p8_found, "p8_composition": p8_composition}
