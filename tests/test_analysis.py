@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -151,6 +152,55 @@ def test_grammars_stay_in_range():
     assert (post.sum(0) + post.sum(1)).max() <= 1 + 1e-6 and T.inside_g6("", T.RULES["g6"], single, pair) == -math.inf
 
 
+def plain_posteriors_g5(seq, t, single, pair):
+    """Row by row, as the rules are written; for short sequences, whose numbers stay in range."""
+    e1, e2, n = single[["ACGU".index(c) for c in seq]], pair[np.ix_(["ACGU".index(c) for c in seq], ["ACGU".index(c) for c in seq])], len(seq)
+    s, o, post = np.zeros((n + 1, n + 1)), np.zeros((n + 1, n + 1)), np.zeros((n, n))
+    s[range(n + 1), range(n + 1)] = t[2]
+    for i in range(n - 1, -1, -1):
+        s[i, i + 1 :] = t[0] * e1[i] * s[i + 1, i + 1 :]
+        for k in range(i + 1, n):
+            s[i, k + 1 :] += t[1] * e2[i, k] * s[i + 1, k] * s[k + 1, k + 1 :]
+    o[0, n] = 1 / s[0, n]
+    for i in range(n):
+        o[i + 1, i + 1 :] += t[0] * e1[i] * o[i, i + 1 :]
+        for k in range(i + 1, n):
+            w, after = t[1] * e2[i, k], s[k + 1, k + 1 :] @ o[i, k + 1 :]
+            o[i + 1, k] += w * after
+            o[k + 1, k + 1 :] += w * s[i + 1, k] * o[i, k + 1 :]
+            post[i, k] = w * s[i + 1, k] * after
+    return post
+
+
+def test_posteriors_of_many_sequences_at_once():
+    single, pair = T.emissions(0.9)
+    rnd = random.Random(7)
+    seqs = ["".join(rnd.choice("ACGU") for _ in range(n)) for n in (0, 1, 2, 31, 32, 33, 63, 64, 65, 130)] + ["GGGGAAAACCCC" * 9]
+    for s, got in zip(seqs, T.posteriors_g5(seqs, T.RULES["g5"], single, pair)):
+        assert got.shape == (len(s), len(s)) and (not s or np.allclose(got, plain_posteriors_g5(s, T.RULES["g5"], single, pair), rtol=1e-9, atol=1e-12))
+    # a scale that has to be looked for, beside one that has not
+    one, long = T.posteriors_g5(["GGGAAACCC", "GC" * 700], T.RULES["g5"], single, pair)
+    assert np.allclose(one, plain_posteriors_g5("GGGAAACCC", T.RULES["g5"], single, pair)) and 0.5 < (long.sum(0) + long.sum(1)).mean() <= 1 + 1e-6
+
+
+def test_long_sequences_are_folded_by_blocks():
+    """The work is in products of blocks: 1000 letters take some tenths of a second, a row at a time took ten seconds."""
+    single, pair = T.emissions(0.9)
+    seq = "".join(random.Random(8).choice("ACGU") for _ in range(1000))
+    began = time.thread_time()
+    T.mea_pairs(T.outside_g5(seq, T.RULES["g5"], single, pair))
+    assert time.thread_time() - began < 4
+
+
+def test_folded_rows_are_those_of_each_sequence(spark):
+    rnd = random.Random(9)
+    text = {k: "GGGGCC" * (k % 3) + "".join(rnd.choice("ACGU") for _ in range(k % 40)) + "GGCCCC" * (k % 3) for k in range(60)}
+    single, pair = T.emissions(0.99)
+    got = [tuple(r) for r in T.fold(spark.createDataFrame([*text.items(), (99, None), (98, "-.-")], "seq_id long, aseq string"), canonical=0.99).collect()]
+    want = [(k, i, j) for k, s in text.items() if len(s) > 1 for i, j in T.mea_pairs(plain_posteriors_g5(s, T.RULES["g5"], single, pair))]
+    assert sorted(got) == sorted(want) and len(want) > 0
+
+
 def test_training_makes_sequences_likelier():
     single, pair = T.emissions(0.9)
     seqs = ["GGGAAACCC", "GCGCAAAAGCGC", "AUAUGGGGAUAU"]
