@@ -68,6 +68,32 @@ def test_constant_null_gives_one_over_its_count(spark):
     assert A.Null([np.ones(10)]).p_value(np.array([50.0, 1.0])).tolist() == [0.1, 0.1]
 
 
+def test_null_takes_one_replicate_at_a_time():
+    """A null's scores are counted as they come, so that a wide alignment's never lie in memory together."""
+    rng = np.random.default_rng(8)
+    parts = [rng.gamma(2, 3 + k, 500) for k in (0, 4, 1)]
+    one, whole = A.Null(iter(parts)), A.Null([parts[0], np.concatenate(parts[1:])])
+    assert one.nc == 1500 and (one.obs == whole.obs).all() and (one.p_value(parts[1]) == whole.p_value(parts[1])).all()
+
+
+def test_scores_over_several_blocks_of_columns_in_used_arrays():
+    rng = np.random.default_rng(9)
+    scratch = A.Scratch()
+    for width in (300, 700, 40):  # a block's columns are 256
+        x, w = helix_rows(rng, 12, width, [(3, width - 5)]), rng.random(12) + 0.5
+        got, nseff, canonical = A.g_test(x, w, False, np.float64, scratch)
+        for i, j in [(3, width - 5), (0, 1), (width - 2, 7), (30, 31), *rng.integers(0, width, (60, 2))]:
+            if i != j:
+                both = (x[:, i] < 4) & (x[:, j] < 4)
+                c = np.array([[w[(x[:, i] == a) & (x[:, j] == b)].sum() for b in range(4)] for a in range(4)])
+                assert nseff[i, j] == pytest.approx(w[both].sum()) and canonical[i, j] == pytest.approx(sum(c[a, b] for a in range(4) for b in range(4) if a + b in (3, 5)) / c.sum())
+        again = A.g_test(x, w, False)[0]
+        up = np.triu_indices(width, 1)
+        assert np.allclose(got[up], again[up], atol=1e-9) and np.allclose(got[up], got.T[up], atol=1e-9)
+        want = A.product_corrected(again)
+        assert np.allclose(A.product_corrected(got, scratch)[up], want[up], atol=1e-9)
+
+
 def test_large_trees_hold_every_row_once():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 4, (6, 50)).astype(np.uint8)
