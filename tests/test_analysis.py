@@ -154,6 +154,20 @@ def test_covarying_finds_the_helix(spark):
     assert again == got
 
 
+def test_base_pairs_alone_need_no_nulls_without_any(monkeypatch):
+    rng = np.random.default_rng(7)
+    rows, ss = text(helix_rows(rng, 30, 60, [(0, 29), (1, 28)])), "<<" + "." * 26 + ">>" + "." * 30
+    whole, alone = A.analyse(rows, ss, 3, 4), A.analyse(rows, ss, 3, 4, bp_only=True)
+    assert len(alone["i"]) == 2 and all((alone[k] == whole[k][whole["is_bp"]]).all() for k in whole)
+
+    def drawn(*_):
+        raise AssertionError("a null was drawn")
+
+    monkeypatch.setattr(trees, "replays", drawn)
+    gone = ["-" + r[1:] for r in rows]  # the only pair's column has gaps alone
+    assert A.analyse(rows, None, 3, 4, bp_only=True) is None and A.analyse(gone, "<" + "." * 28 + ">", 3, 4, bp_only=True) is None
+
+
 def test_ancestors_and_clades(spark):
     rows = [("a", k, t) for k, t in enumerate(["AAAA", "AAAC", "GGGG", "GGGU"])]
     d = spark.createDataFrame(rows, "aln_id string, seq_id long, aseq string")
