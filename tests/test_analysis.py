@@ -94,6 +94,26 @@ def test_scores_over_several_blocks_of_columns_in_used_arrays():
         assert np.allclose(A.product_corrected(got, scratch)[up], want[up], atol=1e-9)
 
 
+@pytest.mark.parametrize("rows, width", [(12, 300), (150, 140), (6, 300), (3, 1100)])
+def test_null_scores_are_single_and_leave_shares_out(rows, width):
+    """In strips of columns, few rows or many, on 16 cells or pooled: the scores of the doubles, without what only the real alignment needs."""
+    rng = np.random.default_rng(10)
+    x, w = helix_rows(rng, rows, width, [(3, width - 5)]), rng.random(rows) + 0.5
+    x[:, 7] = x[:, 9] = 4
+    x[0, 9] = 2  # columns 7 and 9 meet in no row
+    pooled = rows <= 8
+    want, nseff, canonical = A.g_test(x, w, pooled)
+    got, _, none = A.g_test(x, w, pooled, np.float32, A.Scratch(), False)
+    assert got.dtype == np.float32 and none is None and np.isfinite(got).all()
+    up = np.triu_indices(width, 1)
+    assert np.allclose(got[up], want[up], atol=2e-2) and np.allclose(got[up], got.T[up], atol=1e-3)
+    assert nseff[7, 9] == canonical[7, 9] == 0 and want[7, 9] == pytest.approx(0, abs=1e-9)
+    for i, j in [(3, width - 5), (0, 1), (width - 2, 40), *rng.integers(10, width, (40, 2))]:
+        if i != j:
+            c = np.array([[w[(x[:, i] == a) & (x[:, j] == b)].sum() for b in range(4)] for a in range(4)])
+            assert nseff[i, j] == pytest.approx(c.sum()) and canonical[i, j] == pytest.approx(sum(c[a, b] for a in range(4) for b in range(4) if a + b in (3, 5)) / max(c.sum(), 1e-30), abs=1e-12)
+
+
 def test_large_trees_hold_every_row_once():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 4, (6, 50)).astype(np.uint8)
