@@ -188,6 +188,16 @@ def test_base_pairs_alone_need_no_nulls_without_any(monkeypatch):
     assert A.analyse(rows, None, 3, 4, bp_only=True) is None and A.analyse(gone, "<" + "." * 28 + ">", 3, 4, bp_only=True) is None
 
 
+def test_base_pairs_alone_are_all_that_is_weighed(monkeypatch):
+    rng = np.random.default_rng(11)
+    rows, ss = text(helix_rows(rng, 30, 60, [(0, 29), (1, 28)])), "<<" + "." * 26 + ">>" + "." * 30
+    weighed, real = [], A.Null.p_value
+    monkeypatch.setattr(A.Null, "p_value", lambda self, score: weighed.append(len(score)) or real(self, score))
+    A.analyse(rows, ss, 3, 4, bp_only=True)
+    A.analyse(rows, ss, 3, 4)
+    assert weighed == [2, 60 * 59 // 2]
+
+
 def test_ancestors_and_clades(spark):
     rows = [("a", k, t) for k, t in enumerate(["AAAA", "AAAC", "GGGG", "GGGU"])]
     d = spark.createDataFrame(rows, "aln_id string, seq_id long, aseq string")
